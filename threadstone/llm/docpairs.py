@@ -56,7 +56,7 @@ def _rust() -> Grammar:
     skip = [_LINE, block, R("string"), _CHAR]
     doc = alt(r"///(?!/)[^\n]*", seq(r"(?=/\*\*(?![*/]))", block), r"#\[\s*doc\s*=\s*\"(?:[^\"\\]|\\.)*\"\s*\]")
     space = many(alt(r"\s+", seq(no(doc), _LINE), seq(no(doc), block), seq(no(doc), r"#\s*", R("nest["))))
-    modifiers = many(alt(r"(?:pub\s*\([^)]*\)|pub|default|const|async|unsafe|safe)\b\s*|pub\([^)]*\)\s*", r"extern\s*(?:\"[^\"]*\")?\s*"))
+    modifiers = many(alt(r"pub\s*\([^)]*\)\s*|(?:pub|default|const|async|unsafe|safe)\b\s*", r"extern\s*(?:\"[^\"]*\")?\s*"))
     # a bound may hold an arrow, which closes nothing
     generics = seq("<", many(alt(r"[^<>\-\"'/]+", "->", skip[1], R("generics"), "'", "[-/]")), ">")
     return Grammar(
