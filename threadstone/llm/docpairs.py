@@ -68,7 +68,7 @@ def _rust() -> Grammar:
             "function": seq(cap("function", seq(modifiers, r"fn\s+", cap("name", r"(?:r#)?" + _ID), _WS, opt(R("generics")), _WS, R("nest("), R("tail"))), r"\{"),
             "tail": many(alt(r"[^{;\"'/]+", *skip, "['/]")),
             "documented": seq(cap("doc", doc), many(seq(space, cap("doc", doc))), space, R("function")),
-            "item": alt(R("documented"), *skip, rf"{_ID}|[^/\"'\w]+|."),
+            "item": alt(R("documented"), *skip, rf"{_ID}|[^/\"'#\w]+|."),
         }
     )
 

@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadstone.llm import mixing, reading_level, tokenizer
+from threadstone.llm import docpairs, mixing, reading_level, secrets, tokenizer
+from threadstone.functions.ids import canonical_id
 from threadstone.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.extract(table(spark, d, "source_texts")).select("source_id", "start_line", "name").distinct()
+
+
+def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.extract(table(spark, d, "source_texts"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.scan(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "start_char", "end_char")
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk with its credentials blacked out, once per content of its row."""
+    chunks = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "text").distinct()
+    return secrets.redacted(chunks).select("chunk_id", "redacted", "n_found")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Credentials per project, kind and state of the project's secret scan."""
+    found = secrets.scan(table(spark, d, "chunks"))
+    latest = F.max_by("project_id", F.struct(F.col("last_indexed_at"), "project_id"))
+    files = table(spark, d, "files").groupBy(canonical_id("id").alias("file_id")).agg(latest.alias("project_id"))
+    chunks = table(spark, d, "chunks").select("id", canonical_id("file_id").alias("file_id")).distinct()
+    projects = table(spark, d, "project_manifests").select("project_id", F.coalesce("secrets_scan", F.lit(False)).alias("secrets_scan"))
+    owned = found.join(chunks, "id").join(files, "file_id", "left").join(projects, "project_id", "left")
+    return owned.groupBy("project_id", "secrets_scan", "kind").agg(F.count(F.lit(1)).alias("n_credentials"), F.countDistinct("id").alias("n_chunks"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -47,6 +77,11 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
+    "p4_report": p4_report,
     "p6_ids": p6_ids,
     "p6_counts": p6_counts,
     "p7_mix": p7_mix,
