@@ -238,7 +238,7 @@ def pairs(language: str, text: str | None) -> list[Pair]:
         at = next(((a, b) for label, a, b in captures if label == "name"), None)
         if not docs or body is None or at is None:
             return None
-        name = source[slice(*at)]
+        name = re.split(r"::\s*", source[slice(*at)])[-1].removeprefix("r#")  # as its own scope calls it
         doc = clean(language, docs)
         if not informative(doc, name):
             return None

@@ -27,7 +27,7 @@ def schedules(targets: DataFrame, lean: float = LEAN) -> DataFrame:
     """Adds ``slope``: a source's weight at time t is ``share * (1 + slope * (2t - 1))``. Larger sources thin out, smaller ones
     grow, and the weights of a plan sum to its shares' sum at every t. A plan of equal shares keeps constant weights."""
     w = Window.partitionBy("plan_id")
-    mean = F.sum(F.col("target_share") ** 2).over(w) / F.sum("target_share").over(w)
+    mean = F.coalesce(F.try_divide(F.sum(F.col("target_share") ** 2).over(w), F.sum("target_share").over(w)), F.lit(0.0))
     away = F.col("mean") - F.col("target_share")
     most = F.max(F.abs(away)).over(w)
     return targets.withColumn("mean", mean).withColumn("slope", F.when(most > 1e-12, F.lit(lean) * away / most).otherwise(0.0)).drop("mean")

@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words:
 
     seen = labelled.select("text", "level").mapInArrow(describe, "level long, x array<double>").toPandas()
     x, y = np.stack(seen["x"].to_numpy()), seen["level"].to_numpy()
-    model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
+    spread = x.std(0)
+    model.mean, model.scale = x.mean(0), np.where(spread > 1e-6, spread, np.inf)  # what never varies tells nothing
     model.weights = _logistic(np.c_[(x - model.mean) / model.scale, np.ones(len(x))], y)
     return model
 

@@ -121,7 +121,7 @@ def _credential(key: str, value: str, quoted: bool) -> bool:
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _BOUND = [
     re.compile(r"[\"']([\w.\- ]+)[\"']\s*\]?\s*(?:,|:|=>|\|\|=|\?\?=|=)\s*$"),
-    re.compile(r"([\w$][\w$\-]*)\s*(?:\[\s*\w*\s*\])?\s*(?::\s*[&\w:<>'*\s]+?)?\s*(?::=|\|\|=|\?\?=|=|:|\{|=>)\s*(?:!!\w+\s+|String::from\(|[bfru]{1,2})?$"),
+    re.compile(r"([\w$][\w$\-]*)\s*(?:\[\s*\w*\s*\])?\s*(?::(?!:)\s*[&\w:<>'*\s]+?)?\s*(?::=|\|\|=|\?\?=|=|:|\{|=>)\s*(?:!!\w+\s+|String::from\(|[bfru]{1,2})?$"),
     re.compile(r"#\s*define\s+(\w+)\s+$"),
     re.compile(r"\(\s*(?:[\w$]+(?:\.|->|::))*([\w$]+)\s*,\s*$"),
     re.compile(r"([\w$]+)\(\s*$"),
@@ -355,12 +355,15 @@ def scan(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 def redacted(df: DataFrame, text: str = "text", out: str = "redacted", found: str = "n_found") -> DataFrame:
     """df with the redacted text and the number of credentials beside it. Columns called like them are replaced. No shuffle."""
     keep = [c for c in df.columns if c not in (out, found)]
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out}` string", f"`{found}` long"])
+    at = keep.index(text)
+    types = [df.schema[df.columns.index(c)].dataType.simpleString() for c in keep]
+    schema = ", ".join([f"c{i} {t}" for i, t in enumerate(types)] + ["r string", "n long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            texts = b.column(at).to_pylist()
             new, n = pa.array([redact(t) for t in texts], pa.string()), pa.array([len(find(t)) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, new, n], names=[*keep, out, found])
+            yield pa.RecordBatch.from_arrays([*b.columns, new, n], names=[*(f"c{i}" for i in range(len(keep))), "r", "n"])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])  # names with dots don't reach the batches
+    return plain.mapInArrow(run, schema).toDF(*keep, out, found)

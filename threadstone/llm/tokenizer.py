@@ -238,17 +238,19 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "n_tokens", vocab
 
 def _per_text(df: DataFrame, text: str, field: T.StructField, vocabulary: str, folder: str) -> DataFrame:
     keep = [c for c in df.columns if c not in (text, field.name)]
-    schema = T.StructType([df.schema[c] for c in keep] + [field])
+    names = [f"c{i}" for i in range(len(keep))]  # names with dots don't reach the batches
+    schema = T.StructType([T.StructField(n, df.schema[df.columns.index(c)].dataType) for n, c in zip(names, keep)] + [T.StructField("out", field.dataType, False)])
     lists = isinstance(field.dataType, T.ArrayType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary, folder)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            rest = batch.select(keep)
+            texts = batch.column(len(names)).to_pylist()
+            rest = batch.select(names)
             for a, b in _groups(texts):
                 ids, offsets = bpe.encode(texts[a:b])
                 made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())) if lists else pa.array(np.diff(offsets), pa.int64())
-                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], names=[*keep, field.name])
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, made], names=[*names, "out"])
 
-    return df.select(*[F.col(f"`{c}`") for c in [*keep, text]]).mapInArrow(run, schema)
+    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([*keep, text], [*names, "text"])])
+    return plain.mapInArrow(run, schema).toDF(*keep, field.name)
