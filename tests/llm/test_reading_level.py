@@ -25,7 +25,7 @@ def test_held_out_agreement(spark):
 
 def toy(spark, n=30):
     vocab = {1: "cat sat mat ran", 2: "folder menu window click", 3: "latency buffer thread cache", 4: "axiom monotone lattice functor"}
-    docs = [(k * 100 + i, " ".join([w] * 3 for w in []) or f"{v} {v} the and `code {vocab[5 - k]}`") for k, v in vocab.items() for i in range(n)]
+    docs = [(k * 100 + i, f"{v} {v} the and `code {vocab[5 - k]}`") for k, v in vocab.items() for i in range(n)]
     labels = [(d, f"r{j}", d // 100) for d, _ in docs for j in range(2)]
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, rater string, level long"), vocab
 
@@ -33,7 +33,7 @@ def toy(spark, n=30):
 def test_levels_of_plain_vocabularies(spark):
     docs, labels, vocab = toy(spark)
     model = R.fit(docs, labels)
-    new = spark.createDataFrame([(k, v + " unknownword") for k, v in vocab.items()] + [(9, None), (10, ""), (11, "zzz"), (12, (vocab[4] + " ") * 20000)], "doc_id long, text string")
+    new = spark.createDataFrame([(k, f"{v} {v} the and unknownword") for k, v in vocab.items()] + [(9, None), (10, ""), (11, "zzz"), (12, (vocab[4] + " ") * 20000)], "doc_id long, text string")
     got = {r.doc_id: r.level for r in R.predict(new, model).collect()}
     assert {k: got[k] for k in vocab} == {k: k for k in vocab}
     assert all(got[k] in R.LEVELS for k in (9, 10, 11)) and got[12] == 4
