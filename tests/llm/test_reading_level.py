@@ -33,7 +33,7 @@ def toy(spark, n=30):
 def test_levels_of_plain_vocabularies(spark):
     docs, labels, vocab = toy(spark)
     model = R.fit(docs, labels)
-    new = spark.createDataFrame([(k, f"{v} {v} the and unknownword") for k, v in vocab.items()] + [(9, None), (10, ""), (11, "zzz"), (12, (vocab[4] + " ") * 20000)], "doc_id long, text string")
+    new = spark.createDataFrame([(k, f"{v} {v} the and unknownword") for k, v in vocab.items()] + [(9, None), (10, ""), (11, "zzz"), (12, f"{vocab[4]} {vocab[4]} the and " * 20000)], "doc_id long, text string")
     got = {r.doc_id: r.level for r in R.predict(new, model).collect()}
     assert {k: got[k] for k in vocab} == {k: k for k in vocab}
     assert all(got[k] in R.LEVELS for k in (9, 10, 11)) and got[12] == 4
