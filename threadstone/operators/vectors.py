@@ -91,7 +91,7 @@ def mmr(candidates: DataFrame, group: str, key: str, embedding: str, query: str,
     kinds = {c: candidates.schema[c].dataType.simpleString() for c in (group, key)}
 
     def pick(t: pa.Table) -> pa.Table:
-        t = t.sort_by(key)
+        t = t.sort_by("k")
         dim = len(t.column("q")[0].as_py())
         m, q = _matrix(t.column("v").combine_chunks(), dim), _matrix(t.column("q").combine_chunks(), dim)[0]
         sim, left, picked = m @ q, np.ones(len(m), bool), []
@@ -102,10 +102,12 @@ def mmr(candidates: DataFrame, group: str, key: str, embedding: str, query: str,
             near = m @ m[i] if not picked else np.maximum(near, m @ m[i])
             left[i] = False
             picked.append(i)
-        return pa.table({group: t.column(group).take(picked), "mmr_rank": pa.array(range(1, len(picked) + 1), pa.int32()), key: t.column(key).take(picked), "score": pa.array(sim[picked])})
+        at = pa.array(picked, pa.int64())
+        return pa.table({"g": t.column("g").take(at), "mmr_rank": pa.array(range(1, len(picked) + 1), pa.int32()), "k": t.column("k").take(at), "score": pa.array(sim[picked], pa.float64())})
 
-    few = candidates.select(group, key, F.col(embedding).alias("v"), F.col(query).alias("q"))
-    return few.groupBy(group).applyInArrow(pick, f"{group} {kinds[group]}, mmr_rank int, {key} {kinds[key]}, score double")
+    few = candidates.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(embedding).alias("v"), F.col(query).alias("q"))
+    picked = few.groupBy("g").applyInArrow(pick, f"g {kinds[group]}, mmr_rank int, k {kinds[key]}, score double")
+    return picked.toDF(group, "mmr_rank", key, "score")
 
 
 def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold: float, block: int = 5_000) -> DataFrame:
@@ -129,9 +131,9 @@ def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold
     rows = ws.cut(rows, "rows", by=["block"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        if t.num_rows:
-            t = t.sort_by("id")
+        own = list(batches)
+        if own:
+            t = pa.Table.from_batches(own).sort_by("id")
             ids, m = t.column("id").to_pylist(), _matrix(t.column("v").combine_chunks(), dim)
             lead = np.full(len(m), -1)
             for i in range(len(m)):
@@ -145,11 +147,11 @@ def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold
         field = left.schema.field("id").type
         if not left.num_rows or not right.num_rows:
             return pa.table({"id": pa.array([], field), "leader": pa.array([], field)})
-        right = right.sort_by("id")
-        near = _matrix(left.column("v").combine_chunks(), dim) @ _matrix(right.column("v").combine_chunks(), dim).T >= threshold
+        right = right.sort_by("lid")
+        near = _matrix(left.column("v").combine_chunks(), dim) @ _matrix(right.column("lv").combine_chunks(), dim).T >= threshold
         some = near.any(1)
         first = near.argmax(1)
-        return pa.table({"id": left.column("id").filter(pa.array(some)), "leader": right.column("id").take(first[some])})
+        return pa.table({"id": left.column("id").filter(pa.array(some)), "leader": right.column("lid").take(first[some])})
 
     out: list[DataFrame] = []
     leaders = None
@@ -157,15 +159,15 @@ def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold
     for b in range(blocks):
         own = rows.filter(F.col("block") == b).select("id", "v")
         if leaders is not None:
-            spread = lambda d: d.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+            spread = leaders.withColumn("p", F.pmod(F.xxhash64("lid"), F.lit(parts)).cast("int"))
             every = own.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-            led = every.groupBy("p").cogroup(spread(leaders).groupBy("p")).applyInArrow(outside, f"id {kind}, leader {kind}").groupBy("id").agg(F.min("leader").alias("leader"))
+            led = every.groupBy("p").cogroup(spread.groupBy("p")).applyInArrow(outside, f"id {kind}, leader {kind}").groupBy("id").agg(F.min("leader").alias("leader"))
             led = ws.cut(led, f"led{b}")
             out.append(led)
             own = own.join(led, "id", "left_anti")
         new = ws.cut(own.coalesce(1).mapInArrow(inside, f"id {kind}, leader {kind}"), f"new{b}")
         out.append(new)
-        found = rows.filter(F.col("block") == b).select("id", "v").join(new.filter("id = leader").select("id"), "id")
+        found = rows.filter(F.col("block") == b).select(F.col("id").alias("lid"), F.col("v").alias("lv")).join(new.filter("id = leader").select(F.col("id").alias("lid")), "lid")
         leaders = found if leaders is None else leaders.unionByName(found)
     result = out[0]
     for d in out[1:]:
