@@ -153,8 +153,8 @@ def test_conflicts_and_supersession(spark):
     assert [r[0] for r in texts(spark, *said).orderBy("i").select(T.is_conflict(F.lit(old), "t")).collect()] == [True, False, False]
     rules = spark.createDataFrame([(1, "decision", old), (2, "decision", said[0]), (3, "fact", said[0])], "id long, kind string, content string")
     assert [(r.first, r.second) for r in memory.conflicts(rules, "id", "kind", "content", [F.col("id")]).collect()] == [(1, 2)]
-    df = spark.createDataFrame([("e", 1, 10), ("e", 2, 20), ("e", 3, 20), ("f", 4, None)], "e string, id long, at long")
-    assert {(r.id, r.valid_until, r.superseded_by, r.status) for r in memory.supersede(df, ["e"], "id", "at").collect()} == {(1, 20, 2, "superseded"), (2, 20, 3, "superseded"), (3, None, None, "active"), (4, None, None, "active")}
+    df = spark.createDataFrame([("e", 1, 10), ("e", 2, 20), ("e", 3, 20), ("f", 4, None)], "e string, id long, at long").withColumn("at", F.timestamp_seconds("at"))
+    assert {(r.id, r.valid_until and r.valid_until.second, r.superseded_by, r.status) for r in memory.supersede(df, ["e"], "id", "at").collect()} == {(1, 20, 2, "superseded"), (2, 20, 3, "superseded"), (3, None, None, "active"), (4, None, None, "active")}
 
 
 def test_decay_and_consolidation(spark):
@@ -185,7 +185,7 @@ def test_hygiene(spark):
     assert [r.mode for r in rows] == ["passthrough", "highlights", "head_tail", "passthrough"]
     assert rows[1].n_highlights == 40 and "mismatched" in rows[2].condensed and "... 10 lines ..." in rows[2].condensed and rows[3].condensed == ""
     reads = spark.createDataFrame([(1, "a", "h1", False), (2, "a", "h1", False), (3, "a", "h1", True), (4, "a", "h2", False), (5, "b", None, False), (6, "b", None, False)], "seq int, p string, h string, f boolean")
-    got = [(r.suppressed, r["count"], r.is_first) for r in hygiene.read_guard(reads, ["p"], "h", [F.col("seq")], F.col("f")).orderBy("seq").collect()]
+    got = [(r.suppressed, r["count"], r.is_first) for r in hygiene.read_guard(reads.withColumn("ts", F.timestamp_seconds("seq")), ["p"], "h", "ts", "seq", F.col("f")).orderBy("seq").collect()]
     assert got == [(False, 1, True), (True, 2, False), (False, 1, False), (False, 1, False), (False, 1, True), (True, 2, False)]
     files = spark.createDataFrame([("a/b/x", 30), ("a/b/y", 10), ("z", 60)], "p string, n long")
     assert {r.folder: (r.tokens, r.pct) for r in hygiene.token_map(files, "p", "n").collect()} == {"a/b": (40, 40.0), ".": (60, 60.0)}
@@ -232,3 +232,18 @@ def test_answers_and_contexts(spark):
     assert r[0].startswith("## q?\nm1\n- m2\n```\ns1") and "s4" not in r[0] and r[1] == "## q?\nr" and r[2].endswith("[cut]")
     c = spark.createDataFrame([("t", 1, 2.0, 5, "A", "one"), ("t", 2, 1.0, 5, None, None), ("t", 3, 9.0, 50, "C", "big")], "task string, k int, s double, n long, title string, text string")
     assert synthesis.packed_context(c, "k", "s", "n", "title", "text", 10, ["task"]).first().context == "### A\none\n\n### \n"
+
+
+def test_guard_and_supersession_over_stretches_of_time(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["s", "t", None]), rnd.choice("ab"), rnd.choice([None, *range(0, 400_000, 20_000)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, p string, h string, sec long").withColumn("ts", F.timestamp_seconds("sec"))
+    got = {r.id: (r.suppressed, r["count"], r.is_first) for r in hygiene.read_guard(df, ["p"], "h", "ts", "id").collect()}
+    ended = {r.id: r.superseded_by for r in memory.supersede(df, ["p"], "id", "ts").collect()}
+    for p in ("s", "t", None):
+        last, n, own = None, 0, sorted((r for r in rows if r[1] == p), key=lambda r: (r[3] is not None, r[3] or 0, r[0]))
+        for i, r in enumerate(own):
+            n = n + 1 if i and r[2] == last else 1
+            assert got[r[0]] == (i > 0 and r[2] == last, n, i == 0)
+            assert ended[r[0]] == (own[i + 1][0] if i + 1 < len(own) else None)
+            last = r[2]

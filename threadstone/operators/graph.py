@@ -29,7 +29,7 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, hops: int, direction: str
     clamped to 1..5. All roots are expanded together, one join per hop; nodes seen before are not expanded again."""
     ws = Workspace(edges.sparkSession, "graph")
     near, far = ("src", "dst") if direction == "callees" else ("dst", "src")
-    step = edges.select(F.col(near).alias("at"), F.col(far).alias("node"))
+    step = ws.cut(edges.select(F.col(near).alias("at"), F.col(far).alias("node")), "edges")  # read once per hop
     front = roots.select("root").distinct().withColumn("at", F.col("root"))
     seen: list[DataFrame] = []
     for hop in range(1, min(max(hops, 1), MOST_HOPS) + 1):

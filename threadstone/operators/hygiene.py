@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadstone.functions.text import lines
+from threadstone.operators.ordered import neighbours, since_start
 
 
 def token_map(files: DataFrame, path: str, tokens: str) -> DataFrame:
@@ -51,11 +52,11 @@ def condense(text: str, exit_code: Column, threshold: int = 4096, highlights: li
     return [mode.alias("mode"), n.alias("n_lines"), F.size(hit).alias("n_highlights"), body.alias("condensed")]
 
 
-def read_guard(reads: DataFrame, session: list[str], content: str, order: list, forced: Column | None = None) -> DataFrame:
+def read_guard(reads: DataFrame, session: list[str], content: str, at: str, tie: str, forced: Column | None = None) -> DataFrame:
     """Repeated reads: adds ``suppressed`` (the same content as this session's last read of the path, and not forced), ``count``
-    (how often in a row that content was read since it was last shown) and ``is_first``. Null contents equal each other."""
-    w = Window.partitionBy(*session).orderBy(*order)
-    same = F.lag(content).over(w).eqNullSafe(F.col(content)) & (F.row_number().over(w) > 1)
-    df = reads.withColumn("_forced", forced if forced is not None else F.lit(False)).withColumn("suppressed", same & ~F.col("_forced"))
-    df = df.withColumn("is_first", F.row_number().over(w) == 1).withColumn("_run", F.sum(F.when(F.col("suppressed"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.withColumn("count", F.row_number().over(Window.partitionBy(*session, "_run").orderBy(*order))).drop("_run", "_forced")
+    (how often in a row that content was read since it was last shown) and ``is_first``. In the order of time, equal times by
+    the tie-breaker. Null contents equal each other."""
+    near = neighbours(reads.withColumn("_forced", forced if forced is not None else F.lit(False)), session, at, tie, [content])
+    same = F.col("_near.there") & F.col(f"_near.{content}").eqNullSafe(F.col(content)) & ~F.col("_forced")
+    df = near.withColumn("suppressed", same).withColumn("is_first", ~F.col("_near.there")).withColumn("_shown", ~F.col("suppressed"))
+    return since_start(df, session, "_shown", "count").drop("_near", "_forced", "_shown", "_at", "_tie", "_stretch")

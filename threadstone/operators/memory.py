@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadstone.functions.text import commit_parts, is_conflict
+from threadstone.operators.ordered import neighbours
 
 
 def supersede(df: DataFrame, entity: list[str], key: str, at: str) -> DataFrame:
     """Versions of an entity by time: each is ended by the next one, which supersedes it: adds ``valid_until, superseded_by,
     status``. Equal times go by key. Rows without time come first and are ended like others."""
-    w = Window.partitionBy(*entity).orderBy(F.asc_nulls_first(at), key)
-    out = df.withColumn("valid_until", F.lead(at).over(w)).withColumn("superseded_by", F.lead(key).over(w))
-    return out.withColumn("status", F.when(F.col("superseded_by").isNull(), "active").otherwise("superseded"))
+    near = neighbours(df, entity, at, key, [at, key], before=False)
+    out = near.withColumn("valid_until", F.col(f"_near.{at}")).withColumn("superseded_by", F.col(f"_near.{key}"))
+    out = out.withColumn("status", F.when(F.col("_near.there"), "superseded").otherwise("active"))
+    return out.drop("_near", "_at", "_tie", "_stretch")
 
 
 def conflicts(rules: DataFrame, key: str, kind: str, text: str, order: list) -> DataFrame:

@@ -24,15 +24,14 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     """Sections of a document: ``<key>, section_no, heading, content``. A line whose first mark is ``#`` begins one, inside
     code too; what precedes has the heading Overview; blank sections are dropped and don't count. The lines of a text stay in
     one row from end to end, so a document is cut in one expression."""
-    arr = lines(text)
-    starts = F.filter(F.transform(F.sequence(F.lit(1), F.size(arr)), lambda i: F.when(F.ltrim(F.element_at(arr, i)).startswith("#"), i)), lambda i: i.isNotNull())
-    begins = F.array_distinct(F.concat(F.array(F.lit(0)), starts))
-    some = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(key, arr.alias("_l"), begins.alias("_b"))
-    cut = some.select(key, "_l", F.posexplode(F.transform("_b", lambda b, i: F.struct(b.alias("s"), F.coalesce(F.try_element_at("_b", i + 2), F.size("_l") + 1).alias("e")))).alias("_n", "x"))
-    heading = F.when(F.col("x.s") == 0, "Overview").otherwise(F.trim(F.regexp_replace(F.trim(F.element_at("_l", F.greatest(F.col("x.s"), F.lit(1)))), "^#+", "")))
-    body = F.array_join(F.slice("_l", F.col("x.s") + 1, F.greatest(F.col("x.e") - F.col("x.s") - 1, F.lit(0))), "\n")
-    rows = cut.select(key, "_n", heading.alias("heading"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("content")).filter(F.col("content") != "")
-    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_n")) - 1).alias("section_no"), "heading", "content")
+    some = df.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(key, lines(text).alias("_l"))
+    heads = F.filter(F.transform("_l", lambda x, i: F.when(F.ltrim(x).startswith("#"), i + 1)), lambda i: i.isNotNull())
+    begun = some.select(key, "_l", F.array_distinct(F.concat(F.array(F.lit(0)), heads)).alias("_b"))
+    end = lambda i: F.coalesce(F.try_element_at("_b", i + 2), F.size("_l") + 1)
+    title = lambda b: F.when(b == 0, "Overview").otherwise(F.trim(F.regexp_replace(F.trim(F.element_at("_l", F.greatest(b, F.lit(1)))), "^#+", "")))
+    body = lambda b, i: F.regexp_replace(F.array_join(F.slice("_l", b + 1, F.greatest(end(i) - b - 1, F.lit(0))), "\n"), r"^\s+|\s+$", "")
+    made = F.filter(F.transform("_b", lambda b, i: F.struct(title(b).alias("heading"), body(b, i).alias("content"))), lambda x: x["content"] != "")
+    return begun.select(key, F.posexplode(made).alias("section_no", "x")).select(key, F.col("section_no").cast("long").alias("section_no"), "x.heading", "x.content")
 
 
 def outlines(symbols: DataFrame, file: str, pos: list[str]) -> DataFrame:

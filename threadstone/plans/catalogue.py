@@ -625,7 +625,7 @@ def condense_logs(spark, d):
         SELECT *, coalesce(lag(props) OVER w = props, false) AS suppressed, row_number() OVER w = 1 AS is_first FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)))"""
 )
 def read_guard(spark, d):
-    return hygiene.read_guard(table(spark, d, "events"), ["user_id", "event_type"], "props", [F.col("ts"), F.col("event_id")]).select("event_id", "suppressed", "is_first", "count")
+    return hygiene.read_guard(table(spark, d, "events"), ["user_id", "event_type"], "props", "ts", "event_id").select("event_id", "suppressed", "is_first", "count")
 
 
 # ---- texts ----------------------------------------------------------------------------------------------------------
