@@ -46,7 +46,7 @@ def test_languages_kinds_commits(spark):
     got = [r[0] for r in texts(spark, "a/b.RS", "x.py", "Dockerfile", "build.gradle.kts", "none", "a.svd", None).orderBy("i").select(T.language("t")).collect()]
     assert got == ["rust", "python", "docker", "gradle", "unknown", "svd", "unknown"]
     assert [r[0] for r in texts(spark, " Fact ", "procedural", "x", None).orderBy("i").select(T.memory_kind("t")).collect()] == ["fact", "skill", None, None]
-    kind, title = T.commit_parts("t")
+    kind, title, _ = T.commit_parts("t")
     got = [tuple(r) for r in texts(spark, "feat: ring buffer\n\nbody", "fix(core): overflow", "chore: x", "feat!: x", None, "perf:  a ").orderBy("i").select(kind, title).collect()]
     assert got == [("decision", "ring buffer"), ("error", "overflow"), (None, None), (None, None), (None, None), ("learning", "a")]
 
@@ -183,7 +183,7 @@ def test_hygiene(spark):
     df = spark.createDataFrame([(i, *x) for i, x in enumerate(logs)], "i int, t string, code int")
     rows = df.select("i", *hygiene.condense("t", F.col("code"), 64)).orderBy("i").collect()
     assert [r.mode for r in rows] == ["passthrough", "highlights", "head_tail", "passthrough"]
-    assert rows[1].n_highlights == 40 and "mismatched" in rows[2].condensed and "... 10 lines ..." in rows[2].condensed and rows[3].condensed == ""
+    assert rows[1].n_highlights == 40 and "mismatched" in rows[2].condensed and "\n\n[... 10 lines condensed ...]\n\n" in rows[2].condensed and rows[1].condensed.startswith("Key error/warning highlights (40 total found):\n") and rows[3].condensed == ""
     reads = spark.createDataFrame([(1, "a", "h1", False), (2, "a", "h1", False), (3, "a", "h1", True), (4, "a", "h2", False), (5, "b", None, False), (6, "b", None, False)], "seq int, p string, h string, f boolean")
     got = [(r.suppressed, r["count"], r.is_first) for r in hygiene.read_guard(reads.withColumn("ts", F.timestamp_seconds("seq")), ["p"], "h", "ts", "seq", F.col("f")).orderBy("seq").collect()]
     assert got == [(False, 1, True), (True, 2, False), (False, 1, False), (False, 1, False), (False, 1, True), (True, 2, False)]
@@ -228,8 +228,10 @@ def test_declarations_calls_imports(spark):
 
 def test_answers_and_contexts(spark):
     arr = lambda *x: F.array(*[F.lit(y) for y in x]).cast("array<string>")
-    r = one(spark, synthesis.answer(F.lit("q?"), arr("m1", "m2"), arr("r"), arr("s1", "s2", "s3", "s4"), 100), synthesis.answer(F.lit("q?"), arr(), arr("r"), arr(), 100), synthesis.answer(F.lit("q?"), arr(), arr(), arr("s" * 900), 20))
-    assert r[0].startswith("## q?\nm1\n- m2\n```\ns1") and "s4" not in r[0] and r[1] == "## q?\nr" and r[2].endswith("[cut]")
+    mem = lambda *x: F.array(*[F.struct(F.lit("fact").alias("kind"), F.lit(y).alias("title"), F.lit(y * 2).alias("content")) for y in x]).cast("array<struct<kind:string,title:string,content:string>>")
+    r = one(spark, synthesis.answer(F.lit("q?"), mem("m1", "m2"), arr("r"), arr("s1", "s2", "s3", "s4"), 100), synthesis.answer(F.lit("q?"), mem(), arr("r"), arr(), 100), synthesis.answer(F.lit("q?"), mem(), arr(), arr("s" * 900), 20))
+    assert r[0].startswith('### 🎯 Answer for: "q?"\n\nBased on active project **FACT** (`m1`):\n> m1m1\n\n') and "- **[FACT] m2**: m2m2\n" in r[0] and "s3" in r[0] and "s4" not in r[0]
+    assert "constraints:\n> r\n" in r[1] and r[2].endswith("*(Truncated to fit 20 token budget constraint)*\n")
     c = spark.createDataFrame([("t", 1, 2.0, 5, "A", "one"), ("t", 2, 1.0, 5, None, None), ("t", 3, 9.0, 50, "C", "big")], "task string, k int, s double, n long, title string, text string")
     assert synthesis.packed_context(c, "k", "s", "n", "title", "text", 10, ["task"]).first().context == "### A\none\n\n### \n"
 
@@ -247,3 +249,40 @@ def test_guard_and_supersession_over_stretches_of_time(spark):
             assert got[r[0]] == (i > 0 and r[2] == last, n, i == 0)
             assert ended[r[0]] == (own[i + 1][0] if i + 1 < len(own) else None)
             last = r[2]
+
+
+def test_declarations_of_other_languages(spark):
+    sources = [
+        ("java", "public class Motor {\n    public void spin(int v) {\n    }\n}\n"), ("kotlin", "class Gear\nfun turn(x: Int): Int {\n"), ("bash", "build() {\n}\nfunction clean {\n}\n"),
+        ("json", '{\n  "server": {\n    "port": 1,\n    "enabled": true\n  }\n}\n'), ("yaml", "version: 3\nservices:\n  web:\n    image: x\n"), ("toml", "[package]\nname = \"x\"\n"),
+        ("html", '<main id="app-root">\n<form class="c" id="login-form">\n<x-tag>\n<p>\n'), ("css", ".dashboard-card {\n}\n@keyframes pulse {\n"), ("markdown", "# Architecture Overview\n## Subsystems\n"),
+        ("linkerscript", "  FLASH (rx) : ORIGIN = 0x0\n  .text :\n"), ("assembly", "Reset_Handler:\n  b x\n"), ("systemverilog", "module alu_core (\n"), ("openscad", "module gear_mount(r) {\n"), ("docker", "FROM rust:1 AS build\n"), ("gradle", "task copyAll {\n"),
+    ]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(sources)], "id int, language string, content string")
+    got = {(sources[r.id][0], r.name, r.kind) for r in textual.declared_symbols(df, "id", "language", "content").collect()}
+    want = {
+        ("java", "Motor", "class"), ("java", "spin", "method"), ("kotlin", "Gear", "class"), ("kotlin", "turn", "function"), ("bash", "build", "function"), ("bash", "clean", "function"), ("json", "server", "struct"),
+        ("json", "port", "field"), ("json", "enabled", "field"), ("yaml", "version", "field"), ("yaml", "services", "struct"), ("yaml", "web", "struct"), ("toml", "package", "module"), ("html", "main#app-root", "struct"),
+        ("html", "form#login-form", "struct"), ("html", "x-tag", "struct"), ("css", ".dashboard-card", "struct"), ("css", "@keyframes pulse", "constant"), ("markdown", "Architecture Overview", "module"), ("markdown", "Subsystems", "module"),
+        ("linkerscript", "FLASH", "constant"), ("linkerscript", ".text", "module"), ("assembly", "Reset_Handler", "function"), ("systemverilog", "alu_core", "module"), ("openscad", "gear_mount", "module"), ("docker", "build", "module"), ("gradle", "copyAll", "function"),
+    }
+    assert want <= got, want - got
+    svd = "<device><name>X</name>\n<peripheral>\n<name>GPIOA</name>\n<register>\n<name>MODER</name>\n<field><name>M0</name></field>\n</register>\n<register>\n<name>ODR</name>\n"
+    rows = textual.svd_symbols(spark.createDataFrame([("d", svd), ("e", None)], "id string, t string"), "id", "t").collect()
+    assert {(r.name, r.kind) for r in rows} == {("GPIOA", "module"), ("GPIOA::MODER", "field"), ("GPIOA::ODR", "field")}
+
+
+def test_texts_of_notes(spark):
+    k = spark.createDataFrame([("tidy", None, ["t"], ["one", "two"], None, "p", None)], "name string, description string, triggers array<string>, workflow_steps array<string>, required_tools array<string>, provenance_project string, success_count long")
+    text = k.select(synthesis.skill_text()).first()[0]
+    assert "1. one\n2. two\n" in text and text.endswith("*Provenance: p (Executed 0 times)*\n")
+    m = spark.createDataFrame([("io", "q", "a", ["s"], None, True, None)], "topic string, question string, standing_answer string, referenced_symbols array<string>, referenced_files array<string>, is_stale boolean, last_refreshed_at timestamp")
+    text = m.select(synthesis.model_text()).first()[0]
+    assert "flagged as STALE" in text and "## Referenced Symbols\n- `s`\n" in text and "Referenced Files" not in text
+    r = spark.createDataFrame([("T", "rule_x", 0.7, "b1, b2", "p", "1. s")], "title string, rule_id string, confidence double, incident_ids string, condition_pattern string, prescribed_solution string")
+    assert "- **Rule ID**: `rule_x`\n- **Confidence**: 0.70\n" in r.select(synthesis.rule_text()).first()[0]
+
+
+def test_watched_paths(spark):
+    got = [r[0] for r in texts(spark, "src/a.rs", "target/a.rs", ".git/x.py", "x.unknown", "logo.png", ".index/memories/fact.md", None).orderBy("i").select(T.is_watched("t")).collect()]
+    assert got == [True, False, False, False, True, True, False]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadstone.functions.ids import file_id
+from threadstone.operators import synthesis
 from threadstone.sources import files as S
 from threadstone.sources.store import Store
 from threadstone.streaming import events as ST
@@ -58,11 +59,12 @@ def test_vault_round_trip(spark, tmp_path):
 
 def test_notes(spark, tmp_path):
     (tmp_path / "a.md").write_text("# Rules\n- Never block\n* Always test\nplain\n")
-    (tmp_path / "h.md").write_text("# Handoff\n\n## Objective\nShip it\n\n## Files Modified\n- a.rs\n- b.rs\n\n## Pending Errors\n- *(None)*\n")
+    note = spark.createDataFrame([("s1", dt.datetime(2024, 1, 1), "Ship it", "Test", ["a"], [], None, ["a.rs", "b.rs"])], "session_id string, at timestamp, active_goal string, next_action string, completed_tasks array<string>, pending_tasks array<string>, key_decisions array<string>, modified_files array<string>")
+    (tmp_path / "h.md").write_text(note.select(synthesis.handoff_text()).first()[0])
     assert [r.title for r in S.rule_bullets(spark, str(tmp_path / "a.md")).collect()] == ["Never block", "Always test"]
     assert len(S.find_notes(spark, str(tmp_path), "NEVER").collect()) == 1 and len(S.find_notes(spark, str(tmp_path), "").collect()) == 2
     h = S.read_handoff(spark, str(tmp_path / "h.md")).first()
-    assert (h.objective, h.files_modified, h.pending_errors, h.next_step) == ("Ship it", ["a.rs", "b.rs"], [], "")
+    assert (h.session_id, h.active_goal, h.next_action, h.completed_tasks, h.pending_tasks, h.key_decisions, h.modified_files) == ("s1", "Ship it", "Test", ["a"], [], [], ["a.rs", "b.rs"])
 
 
 def test_chunks_of_files(spark):
@@ -72,6 +74,10 @@ def test_chunks_of_files(spark):
     assert got == {("f", "s1", "symbol_chunk", "a\nb"), ("f", "s2", "symbol_chunk", "c"), ("g", None, "file_summary", "x\ny")}
 
 
+def file_id_of(spark, path):
+    return spark.range(1).select(file_id(F.lit(path))).first()[0]
+
+
 def test_store(spark, tmp_path):
     st = Store(spark, str(tmp_path / "s"))
     assert st.counts() == {"file": 0, "symbol": 0, "chunk": 0}
@@ -95,10 +101,18 @@ def test_store(spark, tmp_path):
     assert st.standing_model([1.0, 0.0]).first().topic == "auth"
     assert st.mark_stale(spark.createDataFrame([("b.rs",), ("z",)], "path string")) == 1
     assert st.standing_model([1.0, 0.0]).first().topic == "io"
+    st.upsert("chunk", spark.createDataFrame([("c1", file_id_of(spark, "b.rs"), "file_outline", "o")], "id string, file_id string, kind string, text string"))
+    st.upsert("symbol", spark.createDataFrame([("s9", file_id_of(spark, "b.rs"), "go", 3)], "id string, file_id string, name string, start_line int"))
+    assert st.file_outline("b.rs").first().id == "c1" and [r.name for r in st.file_symbols("b.rs").collect()] == ["go"]
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "decision.md").write_text(f"## {old.title}\n- **ID**: `{first}`\n- **Status**: `active`\n\n{old.content}\n---\n## New\n- **ID**: `m9`\n\nText\n")
+    st.sync_vault(str(tmp_path / "notes"), str(tmp_path / "vault"))
+    assert len(st.get("memory_record", first).first().embedding) == 2 and st.get("memory_record", "m9").first().kind == "decision"
+    assert (tmp_path / "vault" / "kind=decision").exists()
     st.export_bundle(str(tmp_path / "bundle"))
     other = Store(spark, str(tmp_path / "o"))
     other.import_bundle(str(tmp_path / "bundle"))
-    assert other.counts() == st.counts() and {r.id for r in other.table("memory_record").collect()} == {first, second}
+    assert other.counts() == st.counts() and {r.id for r in other.table("memory_record").collect()} == {first, second, "m9"}
     (tmp_path / "bad" / "manifest").mkdir(parents=True)
     (tmp_path / "bad" / "manifest" / "m.txt").write_text('{"version": 99, "tables": []}')
     with pytest.raises(ValueError):

@@ -24,28 +24,28 @@ def slice_lines(text, start, end) -> Column:
     return F.array_join(F.slice(lines(text), s, n), "\n")
 
 
-# Languages by file name or ending.
-LANGUAGES = {
-    "rs": "rust", "py": "python", "pyi": "python", "mojo": "mojo", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript",
-    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "go": "go", "java": "java", "kt": "kotlin", "kts": "kotlin", "sh": "bash", "bash": "bash",
-    "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "htm": "html", "css": "css", "scss": "css", "md": "markdown", "markdown": "markdown",
-    "svd": "svd", "ld": "linker", "s": "assembly", "asm": "assembly", "slint": "slint", "sv": "systemverilog", "v": "systemverilog", "scad": "openscad", "gradle": "gradle",
-    "cfg": "config", "ini": "config", "conf": "config", "pdf": "binary", "png": "binary", "jpg": "binary", "jpeg": "binary", "gif": "binary", "bin": "binary", "elf": "binary", "zip": "binary",
+# Languages and the endings of their files.
+LANGUAGE_ENDINGS = {
+    "rust": "rs", "c": "c h", "cpp": "cpp hpp cc cxx hh", "python": "py pyi", "javascript": "js mjs cjs jsx", "typescript": "ts mts cts tsx", "go": "go", "java": "java", "kotlin": "kt kts",
+    "mojo": "mojo 🔥", "slint": "slint", "bash": "sh bash zsh", "css": "css scss sass less", "html": "html htm", "xml": "xml", "gradle": "gradle", "docker": "dockerfile", "qemu": "qemu",
+    "svd": "svd", "linkerscript": "ld", "assembly": "s asm", "systemverilog": "sv svh v vh", "openscad": "scad", "json": "json jsonc json5", "yaml": "yaml yml", "toml": "toml",
+    "cfg": "cfg ini conf", "csv": "csv tsv", "markdown": "md markdown", "svg": "svg", "image": "png jpg jpeg webp gif ico bmp", "audio": "mp3 wav flac ogg oga aac m4a mid midi",
+    "video": "mp4 m4v mkv webm avi mov", "document": "pdf docx epub",
 }
+BINARY = ["image", "audio", "video", "document"]
 
 
 def language(path) -> Column:
-    """Language by file name and ending, 'unknown' otherwise; Docker and Gradle files go by name."""
+    """Language by file name and ending, whatever the case, 'unknown' otherwise; Docker and Gradle files go by name."""
     name = F.lower(F.element_at(F.split(_c(path), "[/\\\\]"), -1))
     ending = F.regexp_extract(name, r"\.([^.]+)$", 1)
-    known = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
-    by_name = F.when(name.startswith("dockerfile") | name.endswith(".dockerfile") | name.startswith("docker-compose"), "docker")
-    by_name = by_name.when(name.startswith("build.gradle") | name.startswith("settings.gradle"), "gradle")
+    known = F.create_map(*[F.lit(x) for lang, ends in LANGUAGE_ENDINGS.items() for end in ends.split() for x in (end, lang)])
+    by_name = F.when((name == "dockerfile") | name.startswith("dockerfile."), "docker").when(name.endswith(".gradle") | name.endswith(".gradle.kts"), "gradle")
     return F.coalesce(by_name, F.try_element_at(known, ending), F.lit("unknown"))
 
 
 # Kinds of memory records.
-MEMORY_KINDS = ["instruction", "decision", "preference", "fact", "error", "learning", "goal", "todo", "relationship", "context", "constraint", "procedure", "observation", "skill"]
+MEMORY_KINDS = ["instruction", "fact", "decision", "goal", "commitment", "preference", "relationship", "context", "event", "learning", "observation", "artifact", "error", "skill"]
 
 
 def memory_kind(x) -> Column:
@@ -57,19 +57,26 @@ def memory_kind(x) -> Column:
 
 # What commits of a type become.
 COMMIT_KINDS = {"feat": "decision", "fix": "error", "refactor": "decision", "perf": "learning", "docs": "fact"}
+COMMIT_SAYS = {"feat": "Commit", "fix": "Resolved issue in commit", "refactor": "Refactoring in commit", "perf": "Performance optimization in", "docs": "Documentation update in"}
 
 
-def commit_parts(message) -> tuple[Column, Column]:
-    """Kind and title from a commit message's first line ``type: title`` or ``type(scope): title``; null for other forms."""
-    first = F.regexp_extract(_c(message), r"^([^\r\n]*)", 1)
+def trimmed(x) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+
+
+def commit_parts(message) -> tuple[Column, Column, Column]:
+    """Kind, title and what a memory of it begins with, from a commit message's first line ``type: title`` or
+    ``type(scope): title``; null for other forms."""
+    first = F.regexp_extract(trimmed(message), r"^([^\r\n]*)", 1)
     form = r"^(feat|fix|refactor|perf|docs)(\([^)]*\))?:\s*(.*)$"
-    kinds = F.create_map(*[F.lit(x) for kv in COMMIT_KINDS.items() for x in kv])
-    kind = F.try_element_at(kinds, F.regexp_extract(first, form, 1))
-    return kind, F.when(kind.isNotNull(), F.regexp_replace(F.regexp_extract(first, form, 3), r"(?U)^\s+|\s+$", ""))
+    lookup = lambda d: F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.regexp_extract(first, form, 1))
+    kind = lookup(COMMIT_KINDS)
+    return kind, F.when(kind.isNotNull(), trimmed(F.regexp_extract(first, form, 3))), lookup(COMMIT_SAYS)
 
 
 # Opposed words of rules.
-OPPOSED = [("never", "always"), ("prefer ", "avoid "), ("use ", "do not use "), ("no_std", "with std")]
+OPPOSED = [("never ", "always "), ("prefer ", "avoid "), ("use ", "do not use "), ("no_std", "with std")]
 
 
 def opposed(a, b) -> Column:
@@ -91,3 +98,12 @@ def rule_words(text) -> Column:
 def is_conflict(a, b) -> Column:
     """Opposed texts that share at least two subject words."""
     return opposed(a, b) & (F.size(F.array_intersect(rule_words(a), rule_words(b))) >= 2)
+
+
+def is_watched(path) -> Column:
+    """Whether a change of a path counts: not below build, version-control or index folders, and of a known language; Markdown
+    counts below ``memories/`` even inside the index folder."""
+    p = F.replace(_c(path), F.lit("\\"), F.lit("/"))
+    note = p.rlike(r"(^|/)memories/[^/]*\.md$")
+    hidden = p.rlike(r"(^|/)(?:target|\.git|\.index)/")
+    return F.coalesce(note | (~hidden & (language(path) != "unknown")), F.lit(False))

@@ -55,11 +55,20 @@ def doc_references(refs: DataFrame, symbols: DataFrame, names: DataFrame) -> Dat
     ).distinct()
 
 
-def render(found: DataFrame, refs: DataFrame) -> DataFrame:
-    """A text per root: target, callers, callees and documentation. The lists are those of a bounded neighbourhood."""
+def targets(symbols: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
+    """The first symbol, by id, of each name: ``root, kind, path, signature``. ``files``: ``id, relative_path``."""
+    own = symbols.select(F.col("name").alias("root"), canonical_id("id").alias("sid"), "indexed_at", "row_id", "kind", canonical_id("file_id").alias("fid"), "signature").join(names, "root")
+    own = own.groupBy("root").agg(F.min_by(F.struct("kind", "fid", "signature"), F.struct("sid", "indexed_at", "row_id")).alias("x")).select("root", "x.*")
+    return own.join(files.select(F.col("id").alias("fid"), "relative_path"), "fid", "left").select("root", "kind", F.coalesce("relative_path", F.lit("unknown")).alias("path"), "signature")
+
+
+def render(about: DataFrame, found: DataFrame, refs: DataFrame) -> DataFrame:
+    """A text per root: target, signature, callers, callees and documentation. The lists are those of a bounded neighbourhood."""
     part = lambda d: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.col("node"))))
     lists = found.groupBy("root").agg(part("callers").alias("callers"), part("callees").alias("callees"))
     docs = refs.groupBy("root").agg(F.array_sort(F.collect_set("doc_section_id")).alias("docs"))
-    row = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"[{title}] "), F.array_join(c, ", ")))
-    both = lists.join(docs, "root", "left")
-    return both.select("root", F.concat_ws("\n", F.concat(F.lit("[Target] "), "root"), row("Callers", "callers"), row("Callees", "callees"), row("Docs", "docs")).alias("text"))
+    row = lambda title, c, by: F.when(F.size(c) > 0, F.concat(F.lit(f"[{title}] "), F.array_join(c, by)))
+    both = about.join(lists, "root", "left").join(docs, "root", "left")
+    head = F.format_string("[Target] %s (%s) in %s", "root", "kind", "path")
+    signature = F.when(F.col("signature").isNotNull(), F.concat(F.lit("[Signature] "), "signature"))
+    return both.select("root", F.concat_ws("\n", head, signature, row("Callers", "callers", ", "), row("Callees", "callees", ", "), row("Documentation", "docs", " | ")).alias("text"))

@@ -44,11 +44,11 @@ def condense(text: str, exit_code: Column, threshold: int = 4096, highlights: li
     hit = F.filter(all_lines, lambda x: F.exists(F.array(*[F.lit(h) for h in highlights or HIGHLIGHTS]), lambda h: F.lower(x).contains(h)))
     short = (F.octet_length(t) <= threshold) & (exit_code == 0)
     n = F.size(all_lines)
-    ends = F.when(n <= HEAD + TAIL, all_lines).otherwise(
-        F.concat(F.slice(all_lines, 1, HEAD), F.array(F.format_string("... %d lines ...", n - HEAD - TAIL)), F.slice(all_lines, F.greatest(n - TAIL + 1, F.lit(1)), TAIL))
-    )
+    head, tail = F.array_join(F.slice(all_lines, 1, HEAD), "\n"), F.array_join(F.slice(all_lines, F.greatest(n - TAIL + 1, F.lit(1)), TAIL), "\n")
+    ends = F.concat(head, F.format_string("\n\n[... %d lines condensed ...]\n\n", F.greatest(n - HEAD - TAIL, F.lit(0))), tail)
+    found = F.concat(F.format_string("Key error/warning highlights (%d total found):\n", F.size(hit)), F.array_join(F.slice(hit, 1, SHOWN), "\n"))
     mode = F.when(short, "passthrough").when(F.size(hit) > 0, "highlights").otherwise("head_tail")
-    body = F.when(short, t).when(F.size(hit) > 0, F.array_join(F.slice(hit, 1, SHOWN), "\n")).otherwise(F.array_join(ends, "\n"))
+    body = F.when(short, t).when(F.size(hit) > 0, found).otherwise(ends)
     return [mode.alias("mode"), n.alias("n_lines"), F.size(hit).alias("n_highlights"), body.alias("condensed")]
 
 

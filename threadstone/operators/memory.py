@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadstone.functions.text import commit_parts, is_conflict
+from threadstone.functions.text import commit_parts, is_conflict, trimmed
 from threadstone.operators.ordered import neighbours
 
 
@@ -51,7 +51,7 @@ def consolidate(incidents: DataFrame, component: Column, key: str, symptom: str,
     rows = incidents.select(component.alias("component"), F.col(key).alias("id"), F.coalesce(symptom, F.lit("")).alias("s"), F.coalesce(resolution, F.lit("")).alias("r"), F.row_number().over(Window.orderBy(*order)).alias("n"))
     grouped = rows.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("n", "id", "s", "r"))).alias("x"), F.count(F.lit(1)).alias("n_incidents"))
     return grouped.select(
-        F.concat(F.lit("rule_"), F.replace(F.lower("component"), F.lit(" "), F.lit("_"))).alias("rule_id"), "component", "n_incidents",
+        F.concat(F.lit("rule_"), F.regexp_replace(F.lower("component"), "[ /-]", "_")).alias("rule_id"), "component", "n_incidents",
         F.array_join(F.transform("x", lambda v: v["s"]), " | ").alias("condition_pattern"),
         F.array_join(F.transform("x", lambda v, i: F.concat((i + 1).cast("string"), F.lit(". "), v["r"])), "\n").alias("prescribed_solution"),
         F.array_join(F.transform("x", lambda v: v["id"]), ",").alias("incident_ids"),
@@ -71,11 +71,11 @@ def stale(snapshots: DataFrame, model: str, path: str, old_hash: str, current: D
 
 def distill(commits: DataFrame, key: str, message: str, author: Column) -> DataFrame:
     """Memories from commits with a known type: ``source_hash, kind, title, content, author, tags``. Others are dropped."""
-    kind, title = commit_parts(message)
-    rows = commits.select(F.col(key).alias("source_hash"), kind.alias("kind"), title.alias("title"), F.concat(F.lit("git:"), author).alias("author"))
+    kind, title, says = commit_parts(message)
+    content = F.concat(says, F.lit(" "), F.col(key).cast("string"), F.lit(": "), trimmed(message))
+    rows = commits.select(F.col(key).alias("source_hash"), kind.alias("kind"), title.alias("title"), content.alias("content"), F.concat(F.lit("git:"), author).alias("author"))
     rows = rows.filter(F.col("kind").isNotNull())
-    content = F.concat(F.lit("["), "kind", F.lit("] "), "title")
-    return rows.select("source_hash", "kind", "title", content.alias("content"), "author", F.array(F.lit("distilled"), F.lit("git"), "kind").alias("tags"))
+    return rows.select("source_hash", "kind", "title", "content", "author", F.array(F.lit("distilled"), F.lit("git"), "kind").alias("tags"))
 
 
 def not_stored(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:

@@ -34,11 +34,19 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return begun.select(key, F.posexplode(made).alias("section_no", "x")).select(key, F.col("section_no").cast("long").alias("section_no"), "x.heading", "x.content")
 
 
+# How an outline writes the kinds of symbols.
+OUTLINE_PREFIX = {
+    "function": "fn", "method": "  fn", "struct": "struct", "union": "union", "enum": "enum", "trait": "trait", "class": "class", "interface": "interface", "type_alias": "type",
+    "constant": "const", "static": "static", "field": "field", "module": "mod", "import": "use", "macro": "macro",
+}
+
+
 def outlines(symbols: DataFrame, file: str, pos: list[str]) -> DataFrame:
-    """An outline per file: one line ``kind name: Lstart-Lend | signature`` per symbol in order of position."""
+    """An outline per file: one line ``prefix: Lstart-Lend | signature`` per symbol in order of position; without a signature the
+    qualified name or the name. Other kinds are written ``symbol``."""
+    prefix = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in OUTLINE_PREFIX.items() for x in kv]), F.col("kind")), F.lit("symbol"))
     line = F.concat(
-        F.col("kind"), F.lit(" "), F.col("name"), F.lit(": L"), F.col("start_line").cast("string"), F.lit("-L"), F.col("end_line").cast("string"),
-        F.coalesce(F.concat(F.lit(" | "), "signature"), F.lit("")),
+        prefix, F.lit(": L"), F.col("start_line").cast("string"), F.lit("-L"), F.col("end_line").cast("string"), F.lit(" | "), F.coalesce("signature", "qualified_name", "name"),
     )
     rows = symbols.select(F.col(file).alias("_f"), F.struct(*pos, line.alias("line")).alias("_x")).filter(F.col("_f").isNotNull())
     return rows.groupBy("_f").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["line"]), "\n").alias("outline"), F.count(F.lit(1)).alias("n_symbols")).withColumnRenamed("_f", file)
@@ -81,6 +89,25 @@ DECLARATIONS = {
     "go": [("method", r"^func\s*\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("constant", r"^(?:const|var)\s+(\w+)")],
 }
 DECLARATIONS["cpp"] = [*DECLARATIONS["c"][:4], ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)"), ("namespace", r"^\s*namespace\s+(\w+)"), ("method", r"^\s+(?!(?:if|for|while|switch|return|else|do|typedef)\b)(?:[\w:<>&\*~]+\s+)+\*?(\w+)\s*\([^;]*\)\s*(?:const|noexcept|override|\s)*\{?\s*$"), ("constant", r"^\s*#\s*define\s+(\w+)")]
+DECLARATIONS |= {
+    "java": [("class", r"^\s*(?:(?:public|private|protected|static|final|abstract|open|data|sealed)\s+)*(?:class|record|object)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected|static)\s+)*interface\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+(?:class\s+)?(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|internal|override|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)\s*\("), ("method", r"^\s+(?!(?:return|new|else|throw)\b)(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)*[\w<>\[\], ?.]+\s+(\w+)\s*\([^;]*\)\s*(?:throws\s+[\w, ]+)?\{\s*$")],
+    "bash": [("function", r"^\s*(?:function\s+)?([\w:-]+)\s*\(\)\s*\{?"), ("function", r"^\s*function\s+([\w:-]+)\s*\{")],
+    "json": [("struct", r"^\s*\"([^\"]+)\"\s*:\s*[{\[]"), ("field", r"^\s*\"([^\"]+)\"\s*:\s*[^{\[\s]")],
+    "yaml": [("struct", r"^\s*(?:-\s+)?([\w.-]+):\s*(?:#.*)?$"), ("field", r"^\s*(?:-\s+)?([\w.-]+):\s+\S")],
+    "toml": [("module", r"^\s*\[+([^\]]+)\]"), ("field", r"^\s*([\w.-]+)\s*=")],
+    "cfg": [("module", r"^\s*\[+([^\]]+)\]"), ("field", r"^\s*([\w.-]+)\s*[=:]")],
+    "html": [("struct", r"<(\w[\w-]*)(?=\s)[^>]*?\sid\s*=\s*[\"']([^\"']+)", "#"), ("struct", r"<(main|nav|header|footer|form|section|template|dialog|\w+-[\w-]+)\b")],
+    "css": [("constant", r"^\s*(@keyframes\s+[\w-]+)"), ("struct", r"^\s*([.#]?[\w.#:>\s-]+?)\s*\{")],
+    "markdown": [("module", r"^#+\s*(.*?)\s*$")],
+    "linkerscript": [("constant", r"^\s*(\w+)\s*\([rwx!ail]*\)\s*:\s*ORIGIN"), ("module", r"^\s*(\.[\w.]+)\s*(?:\([A-Z]+\))?\s*:")],
+    "assembly": [("function", r"^\s*([A-Za-z_.$][\w.$]*):")],
+    "slint": [("class", r"^\s*(?:export\s+)?component\s+(\w+)"), ("struct", r"^\s*(?:export\s+)?(?:struct|global)\s+(\w+)")],
+    "docker": [("module", r"(?i)^\s*FROM\s+\S+\s+AS\s+(\S+)"), ("module", r"(?i)^\s*FROM\s+(\S+)")],
+    "gradle": [("function", r"^\s*(?:task\s+|tasks\.(?:register|create)\s*\(?\s*[\"'])(\w+)")],
+    "systemverilog": [("module", r"^\s*(?:module|package|interface|program)\s+(\w+)"), ("class", r"^\s*(?:virtual\s+)?class\s+(\w+)"), ("function", r"^\s*(?:function|task)\s+(?:automatic\s+)?(?:[\w\[\]:]+\s+)*(\w+)\s*[(;]")],
+    "openscad": [("module", r"^\s*module\s+(\w+)"), ("function", r"^\s*function\s+(\w+)")],
+}
+DECLARATIONS["kotlin"], DECLARATIONS["javascript"], DECLARATIONS["mojo"] = DECLARATIONS["java"], DECLARATIONS["typescript"], DECLARATIONS["python"]
 _TYPES = ["struct", "class", "trait", "enum", "interface", "scope", "union"]
 
 
@@ -89,10 +116,16 @@ def declared_symbols(sources: DataFrame, key: str, language: str, text: str) ->
     a method, and the type its parent. Line by line, over the lines of one file in a window; declarations over several lines go
     by their first. Texts of other languages, and null or empty ones, have none."""
     rows = numbered_lines(sources.filter(F.col(language).isin(*DECLARATIONS)), [key, language], text)
-    hits = F.array(*[
-        F.struct(F.lit(lang).alias("lang"), F.lit(kind).alias("kind"), F.regexp_extract("line", form, 1).alias("name")) for lang, forms in DECLARATIONS.items() for kind, form in forms
-    ])
-    first = F.try_element_at(F.filter(hits, lambda h: (h["lang"] == F.col(language)) & (h["name"] != "")), F.lit(1))
+    first = None
+    for lang, forms in DECLARATIONS.items():  # only the forms of a line's own language are tried, the first that fits counts
+        hit = None
+        for kind, form, *glue in forms:
+            name = F.regexp_extract("line", form, 1)
+            if glue:  # two groups make the name
+                name = F.concat(name, F.lit(glue[0]), F.regexp_extract("line", form, 2))
+            test, made = F.col("line").rlike(form), F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+            hit = F.when(test, made) if hit is None else hit.when(test, made)
+        first = F.when(F.col(language) == lang, hit) if first is None else first.when(F.col(language) == lang, hit)
     found = rows.filter(F.col("line").rlike(r"\w")).select(key, language, "line_no", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"), first.alias("d")).filter(F.col("d").isNotNull())
     found = found.select(key, language, "line_no", "indent", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"))
     above = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,6 +135,21 @@ def declared_symbols(sources: DataFrame, key: str, language: str, text: str) ->
     return found.filter("kind <> 'scope'").select(key, "line_no", kind.alias("kind"), "name", F.when(F.col("inside"), F.col("o.name")).alias("parent"))
 
 
+def svd_symbols(sources: DataFrame, key: str, text: str) -> DataFrame:
+    """Peripherals and registers of hardware descriptions: ``<key>, line_no, kind, name``; a register's name begins with that of
+    its peripheral. What a ``<name>`` line names is what was last opened before it; names of anything else are left out."""
+    rows = numbered_lines(sources, [key], text).filter(F.col("line").rlike(r"<(?:peripheral|register|field|cluster)\b|<name>"))
+    opened = F.regexp_extract("line", r"<(peripheral|register|field|cluster)\b", 1)
+    named = F.nullif(F.regexp_extract("line", r"<name>\s*([^<]*?)\s*</name>", 1), F.lit(""))
+    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    within = F.last(F.when(opened != "", opened), ignorenulls=True).over(upto)
+    rows = rows.select(key, "line_no", named.alias("name"), within.alias("within")).filter(F.col("name").isNotNull() & F.col("within").isin("peripheral", "register"))
+    owner = F.last(F.when(F.col("within") == "peripheral", F.col("name")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("owner", owner)
+    name = F.when(F.col("within") == "register", F.concat_ws("::", "owner", "name")).otherwise(F.col("name"))
+    return rows.select(key, "line_no", F.when(F.col("within") == "peripheral", "module").otherwise("field").alias("kind"), name.alias("name"))
+
+
 _KEYWORDS = ["if", "for", "while", "switch", "return", "catch", "fn", "def", "func", "function", "match", "else", "elif", "in", "not", "and", "or", "sizeof", "await", "new", "typeof", "defined"]
 
 

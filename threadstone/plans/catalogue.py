@@ -396,12 +396,15 @@ def graph_docs(spark, d):
 
 
 @query(
-    f"""SELECT '{ROOT}' AS root, '[Target] {ROOT}' || coalesce(chr(10) || '[Callers] ' || (SELECT string_agg(node, ', ' ORDER BY node) FROM {_sql_walk('dst', 'src', 1)}), '')
+    f"""SELECT '{ROOT}' AS root, '[Target] {ROOT} (' || t.kind || ') in ' || t.path || coalesce(chr(10) || '[Signature] ' || t.signature, '')
+      || coalesce(chr(10) || '[Callers] ' || (SELECT string_agg(node, ', ' ORDER BY node) FROM {_sql_walk('dst', 'src', 1)}), '')
       || coalesce(chr(10) || '[Callees] ' || (SELECT string_agg(node, ', ' ORDER BY node) FROM {_sql_walk('src', 'dst', 1)}), '')
-      || coalesce(chr(10) || '[Docs] ' || (SELECT string_agg(DISTINCT doc_section_id, ', ' ORDER BY doc_section_id) FROM {_SQL_DOCREFS}), '') AS text"""
+      || coalesce(chr(10) || '[Documentation] ' || (SELECT string_agg(DISTINCT doc_section_id, ' | ' ORDER BY doc_section_id) FROM {_SQL_DOCREFS}), '') AS text
+      FROM (SELECT s.kind, coalesce(f.relative_path, 'unknown') AS path, s.signature FROM symbols s LEFT JOIN {_SQL_FILES} f ON f.id = {_cid('s.file_id')} WHERE s.name = '{ROOT}' ORDER BY {_cid('s.id')}, s.indexed_at, s.row_id LIMIT 1) t"""
 )
 def graph_explain(spark, d):
-    return graph.render(graph.impact(_edges(spark, d), _roots(spark), 1), graph_docs(spark, d))
+    about = graph.targets(table(spark, d, "symbols"), _files(spark, d), _roots(spark))
+    return graph.render(about, graph.impact(_edges(spark, d), _roots(spark), 1), graph_docs(spark, d))
 
 
 @query(
@@ -505,7 +508,7 @@ def orphan_symbols(spark, d):
 
 
 @query(
-    f"""SELECT 'rule_' || replace(lower(component), ' ', '_') AS rule_id, component, count(*) AS n_incidents, string_agg(title, ' | ' ORDER BY n) AS condition_pattern, least(1.0, 0.5 + 0.1 * count(*))::DOUBLE AS confidence,
+    f"""SELECT 'rule_' || regexp_replace(lower(component), '[ /-]', '_', 'g') AS rule_id, component, count(*) AS n_incidents, string_agg(title, ' | ' ORDER BY n) AS condition_pattern, least(1.0, 0.5 + 0.1 * count(*))::DOUBLE AS confidence,
       string_agg(id, ',' ORDER BY n) AS incident_ids, string_agg(k::VARCHAR || '. ' || content, chr(10) ORDER BY n) AS prescribed_solution FROM (
       SELECT *, row_number() OVER (PARTITION BY component ORDER BY n) AS k FROM (
         SELECT id, coalesce(title, '') AS title, coalesce(content, '') AS content, coalesce(tags[1], 'core') AS component, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS n FROM (
@@ -555,9 +558,11 @@ def govern_links(spark, d):
 
 
 @query(
-    "SELECT doc_id AS source_hash, kind, title, '[' || kind || '] ' || title AS content, 'git:import' AS author FROM (SELECT doc_id, regexp_replace(regexp_extract(f, '^(feat|fix|refactor|perf|docs)(\\([^)]*\\))?:\\s*(.*)$', 3), '^[\\s\\x0B\\p{Z}]+|[\\s\\x0B\\p{Z}]+$', '', 'g') AS title, "
+    "SELECT doc_id AS source_hash, kind, title, says || ' ' || doc_id::VARCHAR || ': ' || t AS content, 'git:import' AS author FROM (SELECT doc_id, t, "
+    "CASE regexp_extract(f, '^(feat|fix|refactor|perf|docs)(\\([^)]*\\))?:\\s*(.*)$', 1) WHEN 'feat' THEN 'Commit' WHEN 'fix' THEN 'Resolved issue in commit' WHEN 'refactor' THEN 'Refactoring in commit' WHEN 'perf' THEN 'Performance optimization in' WHEN 'docs' THEN 'Documentation update in' END AS says, "
+    "regexp_replace(regexp_extract(f, '^(feat|fix|refactor|perf|docs)(\\([^)]*\\))?:\\s*(.*)$', 3), '^[\\s\\x0B\\p{Z}]+|[\\s\\x0B\\p{Z}]+$', '', 'g') AS title, "
     "CASE regexp_extract(f, '^(feat|fix|refactor|perf|docs)(\\([^)]*\\))?:\\s*(.*)$', 1) WHEN 'feat' THEN 'decision' WHEN 'fix' THEN 'error' WHEN 'refactor' THEN 'decision' WHEN 'perf' THEN 'learning' WHEN 'docs' THEN 'fact' END AS kind "
-    "FROM (SELECT doc_id, regexp_extract(text, '^([^\\r\\n]*)', 1) AS f FROM documents WHERE doc_format = 'commit' AND text IS NOT NULL)) WHERE kind IS NOT NULL"
+    "FROM (SELECT doc_id, t, regexp_extract(t, '^([^\\r\\n]*)', 1) AS f FROM (SELECT doc_id, regexp_replace(text, '^[\\s\\x0B\\p{Z}]+|[\\s\\x0B\\p{Z}]+$', '', 'g') AS t FROM documents WHERE doc_format = 'commit' AND text IS NOT NULL))) WHERE kind IS NOT NULL"
 )
 def commit_distill(spark, d):
     commits = table(spark, d, "documents").filter("doc_format = 'commit'")
@@ -571,9 +576,9 @@ def not_yet_stored(spark, d):
 
 
 @query(
-    f"""SELECT id, '## ' || coalesce(title, '') || chr(10) || '- ID: ' || id || chr(10) || '- Status: ' || status || coalesce(chr(10) || '- Created: ' || strftime(created_at, '%Y-%m-%d %H:%M:%S'), '')
-      || coalesce(chr(10) || '- Tags: ' || nullif(array_to_string(tags, ', '), ''), '') || coalesce(chr(10) || '- Governs Symbol: ' || nullif(symbol_ref, ''), '') || coalesce(chr(10) || '- Author: ' || nullif(author, ''), '')
-      || chr(10) || chr(10) || coalesce(content, '') || chr(10) || '---' AS block FROM {_SQL_MEMORY}"""
+    f"""SELECT id, '## ' || coalesce(title, '') || chr(10) || '- **ID**: `' || id || '`' || chr(10) || '- **Status**: `' || status || '`' || coalesce(chr(10) || '- **Created**: `' || strftime(created_at, '%Y-%m-%dT%H:%M:%S+00:00') || '`', '')
+      || coalesce(chr(10) || '- **Tags**: ' || nullif(array_to_string(list_transform(tags, lambda t: '#' || t), ' '), ''), '') || coalesce(chr(10) || '- **Governs Symbol**: `' || nullif(symbol_ref, '') || '`', '') || coalesce(chr(10) || '- **Author**: `' || nullif(author, '') || '`', '')
+      || chr(10) || chr(10) || coalesce(content, '') || chr(10) || chr(10) || '---' || chr(10) AS block FROM {_SQL_MEMORY}"""
 )
 def memory_blocks(spark, d):
     return _memories(spark, d).select("id", synthesis.memory_block().alias("block"))
@@ -609,8 +614,8 @@ _HIT = " OR ".join(f"contains(lower(x), '{h}')" for h in hygiene.HIGHLIGHTS)
 
 
 @query(
-    f"""SELECT doc_id, mode, n_lines, n_highlights, CASE mode WHEN 'passthrough' THEN t WHEN 'highlights' THEN array_to_string(h[1:40], chr(10))
-      ELSE CASE WHEN n_lines <= 30 THEN array_to_string(l, chr(10)) ELSE array_to_string(l[1:15], chr(10)) || chr(10) || '... ' || (n_lines - 30)::VARCHAR || ' lines ...' || chr(10) || array_to_string(l[-15:], chr(10)) END END AS condensed FROM (
+    f"""SELECT doc_id, mode, n_lines, n_highlights, CASE mode WHEN 'passthrough' THEN t WHEN 'highlights' THEN 'Key error/warning highlights (' || n_highlights || ' total found):' || chr(10) || array_to_string(h[1:40], chr(10))
+      ELSE array_to_string(l[1:15], chr(10)) || chr(10) || chr(10) || '[... ' || greatest(n_lines - 30, 0)::VARCHAR || ' lines condensed ...]' || chr(10) || chr(10) || array_to_string(l[-15:], chr(10)) END AS condensed FROM (
       SELECT doc_id, t, l, h, len(l) AS n_lines, len(h) AS n_highlights, CASE WHEN strlen(t) <= 512 AND doc_id % 2 = 0 THEN 'passthrough' WHEN len(h) > 0 THEN 'highlights' ELSE 'head_tail' END AS mode FROM (
         SELECT doc_id, t, l, list_filter(l, lambda x: {_HIT}) AS h FROM (SELECT doc_id, coalesce(text, '') AS t, {_LINES.format("coalesce(text, '')")} AS l FROM documents)))"""
 )
@@ -648,11 +653,14 @@ def doc_sections(spark, d):
     return textual.sections(table(spark, d, "documents"), "doc_id", "text")
 
 
+_PREFIX_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in textual.OUTLINE_PREFIX.items())
+
+
 @query(
-    f"SELECT file_id, string_agg(line, chr(10) ORDER BY start_line, end_line, name, id) AS outline, count(*) AS n_symbols FROM (SELECT {_cid('file_id')} AS file_id, start_line, end_line, name, id, kind || ' ' || name || ': L' || start_line || '-L' || end_line || coalesce(' | ' || signature, '') AS line FROM {_SQL_SYMBOLS}) WHERE file_id IS NOT NULL GROUP BY 1"
+    f"SELECT file_id, string_agg(line, chr(10) ORDER BY start_line, end_line, name, id) AS outline, count(*) AS n_symbols FROM (SELECT {_cid('file_id')} AS file_id, start_line, end_line, name, id, CASE kind {_PREFIX_SQL} ELSE 'symbol' END || ': L' || start_line || '-L' || end_line || ' | ' || coalesce(signature, qualified_name, name) AS line FROM {_SQL_SYMBOLS}) WHERE file_id IS NOT NULL GROUP BY 1"
 )
 def file_outlines(spark, d):
-    s = _symbols(spark, d, ["file_id", "kind", "name", "start_line", "end_line", "signature"]).withColumn("file_id", I.canonical_id("file_id"))
+    s = _symbols(spark, d, ["file_id", "kind", "name", "qualified_name", "start_line", "end_line", "signature"]).withColumn("file_id", I.canonical_id("file_id"))
     return textual.outlines(s, "file_id", ["start_line", "end_line", "name", "id"])
 
 
@@ -674,6 +682,62 @@ def _sources(spark, d):
     return table(spark, d, "source_texts").select("source_id", F.when(lang == "javascript", "typescript").otherwise(lang).alias("language"), "content").distinct()
 
 
+@query(
+    f"SELECT DISTINCT file_id, relative_path, n_symbols, names FROM (SELECT {_cid('file_id')} AS file_id, count(*) AS n_symbols, string_agg(name, ',' ORDER BY start_line, end_line, name, id) AS names FROM {_SQL_SYMBOLS} GROUP BY 1) s JOIN {_SQL_FILES} f ON f.id = s.file_id WHERE f.deleted_at IS NULL"
+)
+def anatomy(spark, d):
+    """Files that are there with their symbols in order of position."""
+    s = _symbols(spark, d, ["file_id", "name", "start_line", "end_line"]).withColumn("file_id", I.canonical_id("file_id"))
+    rows = s.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_symbols"), F.array_sort(F.collect_list(F.struct("start_line", "end_line", "name", "id"))).alias("x"))
+    f = _files(spark, d).filter("deleted_at IS NULL").select(F.col("id").alias("file_id"), "relative_path")
+    return rows.join(f, "file_id").select("file_id", "relative_path", "n_symbols", F.array_join(F.transform("x", lambda v: v["name"]), ",").alias("names"))
+
+
+@query(
+    "SELECT id, count(*) FILTER (deep) AS n_fields, count(*) AS n_lines FROM (SELECT DISTINCT id, text FROM chunks WHERE kind = 'config_chunk' AND starts_with(ltrim(text), '{')) c, "
+    f"LATERAL (SELECT unnest({_LINES.format('c.text')}) AS line), LATERAL (SELECT regexp_matches(line, '^\\s*\"([^\"]+)\"\\s*:\\s*[^{{\\[\\s]') AS deep) GROUP BY id"
+)
+def json_fields(spark, d):
+    """Scalar members of JSON chunks, by their lines."""
+    j = table(spark, d, "chunks").filter((F.col("kind") == "config_chunk") & F.ltrim("text").startswith("{")).select("id", "text", F.lit("json").alias("language")).distinct()
+    n = textual.numbered_lines(j, ["id"], "text").groupBy("id").agg(F.count(F.lit(1)).alias("n_lines"))
+    f = textual.declared_symbols(j, "id", "language", "text").filter("kind = 'field'").groupBy("id").agg(F.count(F.lit(1)).alias("n_fields"))
+    return n.join(f, "id", "left").select("id", F.coalesce("n_fields", F.lit(0)).cast("long").alias("n_fields"), "n_lines")
+
+
+@query()
+def search_with_graph(spark, d):
+    """Hits of the hierarchical search, each with its callers and callees: all hits expanded together."""
+    hits = search.hierarchical(table(spark, d, "symbols").select("row_id", "name", "qualified_name", "summary", "breadcrumbs").distinct(), "row_id", "flush", 10)
+    near = graph.impact(_edges(spark, d), hits.select(F.col("name").alias("root")), 1)
+    refs = graph.doc_references(table(spark, d, "doc_references"), table(spark, d, "symbols"), hits.select(F.col("name").alias("root")).distinct())
+    about = graph.targets(table(spark, d, "symbols"), _files(spark, d), hits.select(F.col("name").alias("root")).distinct())
+    return hits.join(graph.render(about, near, refs).withColumnRenamed("root", "name"), "name", "left").select("row_id", "name", "confidence", F.coalesce("text", F.lit("")).alias("graph"))
+
+
+_SQL_CALLERS = f"(SELECT node, {_TOKENS.format('node')} AS tokens FROM {_sql_walk('dst', 'src', 1)})"
+
+
+@query(f"SELECT '{ROOT}' AS root, node, tokens, row_number() OVER (ORDER BY tokens, node) AS pack_rank, used FROM (SELECT node, tokens, sum(tokens) OVER (ORDER BY tokens, node ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM {_SQL_CALLERS}) WHERE used <= 200")
+def pack_callers(spark, d):
+    """Callers packed into a budget, all of the same score, so the shortest first."""
+    near = graph.neighbourhood(_edges(spark, d), _roots(spark), 1, "callers").select("root", "node", F.lit(1.0).alias("score"), K.estimate_tokens("node").alias("tokens"))
+    return packing.pack(near, ["root"], "node", "score", "tokens", 200)
+
+
+@query()
+def grounded_answer(spark, d):
+    """An answer from recalled memories, rules and snippets, within a budget."""
+    m = _memories(spark, d)
+    texts = lambda df, c: df.agg(F.array_sort(F.collect_list(F.struct("k", c))).alias("x")).select(F.transform("x", lambda v: v[c]).alias("x"))
+    recalled = texts(search.recall(m, "id", 5, kind="error").select(F.col("id").alias("k"), F.struct("kind", "title", "content").alias("m")), "m")
+    rules = texts(search.active_rules(m, "id").select(F.col("id").alias("k"), "title"), "title").withColumnRenamed("x", "r")
+    hits = search.hybrid(_doc_vectors(spark, d), "doc_id", "embedding", F.col("q"), WORD, 3, "source", "outline", "text")
+    snippets = texts(hits.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")), "text").withColumnRenamed("x", "s")
+    one = recalled.join(rules, F.lit(True)).join(snippets, F.lit(True))  # a row each
+    return one.select(F.lit(WORD).alias("question"), synthesis.answer(F.lit(WORD), F.col("x"), F.col("r"), F.col("s"), 1000).alias("answer"))
+
+
 @query()
 def symbol_extract(spark, d):
     return textual.declared_symbols(_sources(spark, d), "source_id", "language", "content")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadstone.functions.ids import content_hash, file_id
-from threadstone.functions.text import language, lines
+from threadstone.functions.text import BINARY, language, lines
 
 # What a walk leaves out, and its size limit.
 IGNORED = [".git/", ".index/", "target/", "node_modules/"]
@@ -22,11 +22,10 @@ def walk(spark: SparkSession, root: str, ignored: list[str] | None = None, max_k
     df = raw.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), "content").withColumn("language", language("relative_path"))
     for prefix in ignored if ignored is not None else IGNORED:
         df = df.filter(~F.col("relative_path").startswith(prefix))
-    df = df.filter((F.col("size_bytes") <= max_kb * 1024) | F.lower("relative_path").endswith(".md") | (F.col("language") == "binary"))
-    name = F.element_at(F.split("relative_path", "/"), -1)
-    asset = F.format_string("Asset Type: %s\nFile: %s\nExtension: %s\nSize: %d bytes", F.lit("binary"), name, F.regexp_extract(name, r"\.([^.]*)$", 1), F.col("size_bytes"))
-    text = F.col("content").cast("string")
-    df = df.filter((F.col("language") == "binary") | F.is_valid_utf8(text)).withColumn("content", F.when(F.col("language") == "binary", asset).otherwise(text))
+    df = df.filter((F.col("size_bytes") <= max_kb * 1024) | F.col("relative_path").endswith(".md"))
+    asset = F.format_string("Asset Type: %s\nFile: %s\nSize: %d bytes\nExtension: %s", "language", "relative_path", "size_bytes", F.regexp_extract("relative_path", r"\.([^./]*)$", 1))
+    text, binary = F.col("content").cast("string"), F.col("language").isin(*BINARY)
+    df = df.filter(binary | F.is_valid_utf8(text)).withColumn("content", F.when(binary, asset).otherwise(text))
     return df.select(file_id("relative_path").alias("id"), "relative_path", "language", "size_bytes", content_hash("content").alias("content_hash"), "content")
 
 
@@ -77,12 +76,12 @@ def read_vault(spark: SparkSession, folder: str) -> DataFrame:
 
     raw = spark.read.text(f"{folder}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("stem"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("v"))
     part = raw.select("stem", F.explode(F.slice(F.split(F.concat(F.lit("\n"), "v"), "\n## "), 2, 1_000_000_000)).alias("p"))
-    meta = lambda k: F.nullif(F.trim(F.regexp_extract("p", rf"\n- {k}:[ \t]*([^\n]*)", 1)), F.lit(""))
-    body = F.filter(F.split("p", "\n"), lambda x, i: (i > 0) & (F.trim(x) != "---") & ~x.rlike(r"^- (ID|Status|Created|Tags|Governs Symbol|Author):"))
+    meta = lambda k: F.nullif(F.trim(F.replace(F.regexp_extract("p", rf"\n- \*\*{k}\*\*:[ \t]*([^\n]*)", 1), F.lit("`"), F.lit(""))), F.lit(""))
+    body = F.filter(F.split("p", "\n"), lambda x, i: (i > 0) & (F.trim(x) != "---") & ~x.rlike(r"^- \*\*(ID|Status|Created|Tags|Governs Symbol|Author)\*\*:"))
     return part.select(
         F.coalesce(memory_kind("stem"), F.lit("fact")).alias("kind"), meta("ID").alias("id"), F.trim(F.regexp_extract("p", r"^([^\n]*)", 1)).alias("title"),
-        F.coalesce(F.lower(meta("Status")), F.lit("active")).alias("status"), meta("Created").try_cast("timestamp_ntz").alias("created"),
-        F.filter(F.transform(F.split(F.coalesce(meta("Tags"), F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "").alias("tags"),
+        F.coalesce(F.lower(meta("Status")), F.lit("active")).alias("status"), F.regexp_replace(meta("Created"), r"(\+00:00|Z)$", "").try_cast("timestamp_ntz").alias("created"),
+        F.filter(F.transform(F.split(F.coalesce(meta("Tags"), F.lit("")), r"[\s,]+"), lambda t: F.regexp_replace(t, "^#", "")), lambda t: t != "").alias("tags"),
         meta("Governs Symbol").alias("symbol_ref"), meta("Author").alias("author"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("content"),
     )
 
@@ -106,17 +105,18 @@ def find_notes(spark: SparkSession, folder: str, text: str) -> DataFrame:
     return raw.filter(F.lower("content").contains(text.lower()))
 
 
-# Headings of a handoff note and the columns they fill.
-HANDOFF = {"Objective": "objective", "Active Branch": "active_branch", "Files Modified": "files_modified", "Pending Errors": "pending_errors", "Key Decisions": "key_decisions", "Next Step": "next_step"}
+# Headings of a handoff note and the lists below them.
+HANDOFF = {"Completed Tasks": "completed_tasks", "Pending Tasks": "pending_tasks", "Key Decisions & Context": "key_decisions", "Modified Files": "modified_files"}
 
 
 def read_handoff(spark: SparkSession, path: str) -> DataFrame:
-    """Handoff notes: a row per file, with the text under each known heading; lists keep their bullets, ``*(None)*`` is empty."""
+    """Handoff notes, a row per file: session, goal, next action and the lists below the known headings; ``*(None)*`` is empty."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.concat(F.lit("\n"), F.replace("value", F.lit("\r\n"), F.lit("\n")), F.lit("\n## ")).alias("v"))
-    under = lambda h: F.regexp_replace(F.regexp_extract("v", rf"(?s)\n## {h}\s*\n(.*?)\n## ", 1), r"^\s+|\s+$", "")
-    bullets = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*[-*] ", ""))), lambda x: (x != "") & (x != "*(None)*"))
-    lists = {"files_modified", "pending_errors", "key_decisions"}
-    return raw.select("file", *[(bullets(under(h)) if c in lists else under(h)).alias(c) for h, c in HANDOFF.items()])
+    line = lambda k: F.trim(F.regexp_extract("v", rf"\n- \*\*{k}\*\*:[ \t]*([^\n]*)", 1))
+    under = lambda h: F.regexp_extract("v", rf"(?s)\n## {h}[ \t]*\n(.*?)\n## ", 1)
+    items = lambda c: F.filter(F.transform(F.filter(F.split(c, "\n"), lambda x: x.rlike(r"^\s*[-*] ")), lambda x: F.trim(F.regexp_replace(x, r"^\s*[-*] (?:\[[ x]\] )?`?|`\s*$", ""))), lambda x: (x != "") & (x != "*(None)*"))
+    action = F.trim(F.regexp_replace(under("Next Immediate Action"), r"(?m)^>[ \t]?", ""))
+    return raw.select("file", line("Session ID").alias("session_id"), line("Active Goal").alias("active_goal"), F.regexp_replace(action, r"^\s+|\s+$", "").alias("next_action"), *[items(under(h)).alias(c) for h, c in HANDOFF.items()])
 
 
 def chunked(files: DataFrame, symbols: DataFrame) -> DataFrame:

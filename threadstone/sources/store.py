@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadstone.functions.ids import file_id
 from threadstone.functions.text import is_conflict
 from threadstone.functions.vectors import cosine
 from threadstone.operators import delta, search
+from threadstone.sources.files import read_vault, write_vault
 
 VERSION = 1
 
@@ -85,6 +87,22 @@ class Store:
     def get(self, name: str, value: str) -> DataFrame:
         return self.table(name).filter(F.col(KEYS.get(name, ["id"])[0]) == value).limit(1)
 
+    def file_symbols(self, path: str) -> DataFrame:
+        """The symbols of a file, by position."""
+        return self.table("symbol").filter(F.col("file_id") == file_id(F.lit(path))).orderBy("start_line", "end_line", "id")
+
+    def file_outline(self, path: str) -> DataFrame:
+        return self.table("chunk").filter((F.col("file_id") == file_id(F.lit(path))) & (F.col("kind") == "file_outline")).limit(1)
+
+    def sync_vault(self, folder: str, out: str) -> None:
+        """Takes in the notes of a folder, keeping the vectors of memories whose text hasn't changed, and writes all notes."""
+        old = self.table("memory_record")
+        seen = read_vault(self.spark, folder).filter(F.col("id").isNotNull()).withColumnRenamed("created", "created_at").dropDuplicates(["id"])
+        kept = old.select("id", F.col("content").alias("_was"), "embedding", "project_id", "session_id", "confidence", "source_hash", "superseded_by", "valid_until")
+        new = seen.join(kept, "id", "left").withColumn("embedding", F.when(F.col("_was") == F.col("content"), F.col("embedding"))).drop("_was")
+        self.upsert("memory_record", new)
+        write_vault(self.table("memory_record"), out)
+
     def delete_files(self, gone: DataFrame) -> None:
         """Files (``id, relative_path``) with their symbols, chunks, calls, imports, sections and references."""
         symbols = self.table("symbol").join(gone.select(F.col("id").alias("file_id")), "file_id", "left_semi")
