@@ -83,6 +83,14 @@ def test_no_text_breaks_a_grammar(language, text):
     D.pairs(language, text)
 
 
+@pytest.mark.parametrize("language,head", [("rust", "fn f"), ("c", "int f"), ("typescript", "function f"), ("go", "func f"), ("python", "def f")])
+def test_deep_nesting_is_passed_over(language, head):
+    mark = "// " if language == "go" else "/** "
+    text = f"{mark}{SAY}{'' if language == 'go' else ' */'}\n{head}{'(' * 20_000}\n"
+    after = {"rust": f"/// {SAY}\nfn g() {{}}\n", "python": f"def g():\n    '{SAY}'\n", "go": f"// {SAY}\nfunc g() {{\n}}\n"}.get(language, f"/** {SAY} */\n{'void' if language == 'c' else 'function'} g() {{}}\n")
+    assert [n for n, _ in names(language, text + "\n" + after)] == ["g"]
+
+
 def test_spark(spark):
     code = f"/// {SAY}\nfn go() {{}}\n"
     rows = [(1, "a/x.rs", code), (1, "a/x.rs", code), (2, "b/copy.RS", code), (3, "c.txt", code), (4, "d.rs", None), (5, "e.rs", ""), (None, "f.rs", code), (6, None, code), (7, "g.go", code), (8, "h.rs", code * 3000)]

@@ -134,7 +134,11 @@ class Grammar:
         f, at, out = self.rules[item], 0, []
         memo: dict = {}
         while at < len(text):
-            r = f(text, at, memo)
+            try:
+                r = f(text, at, memo)
+            except RecursionError:  # brackets nested deeper than Python's calls may be: no function's head
+                r = None
+                memo.clear()
             if r is None or r[0] == at:
                 at += 1
                 continue
