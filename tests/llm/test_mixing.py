@@ -64,6 +64,16 @@ def test_weights_sum_to_the_shares(spark):
         assert all((1 - slope) * r.t + slope * r.t**2 == pytest.approx(r.u, abs=1e-6) for r in u)
 
 
+def test_a_long_document_does_not_miss_the_share(spark):
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(3000)] + [(10_000 + i, "a", 4000) for i in range(3)], DOCS)
+    for share in (0.2, 0.41, 0.73, 1.0):
+        chosen, report = M.mix(docs, spark.createDataFrame([("p", share, "a", 1.0, 3)], PLANS))
+        r = report.first()
+        assert abs(r.reached_tokens - r.wanted_tokens) <= 10
+        rows = chosen.collect()
+        assert sum(x.n_tokens for x in rows) == r.reached_tokens and len({x.doc_id for x in rows}) == len(rows)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     plans = spark.createDataFrame([("p", 1.0, "a", 1.0, 1)], PLANS)

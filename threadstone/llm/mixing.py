@@ -16,6 +16,8 @@ from threadstone.session import Workspace
 BUCKETS = 512
 #: How far the schedules lean: 0 keeps every weight constant; 1 lets the steepest reach zero at one end.
 LEAN = 0.6
+#: Part of a source's tokens above which a document that ends its last pass counts as long.
+LONG = 0.005
 
 
 def source_name(x: str) -> Column:
@@ -46,7 +48,7 @@ def mix(docs: DataFrame, targets: DataFrame, lean: float = LEAN, seed: int = 0)
     ``docs``: ``doc_id, source, n_tokens``; ``targets``: ``plan_id, size_factor, source, target_share, max_repeats``. A plan
     wants ``size_factor`` times the tokens of all documents, and of each source its share of that. A source is passed over as
     often as its share needs, each pass in the same random order, the last one up to the document that comes nearest to the
-    rest; no document occurs more than ``max_repeats`` times. A source that can't fill its share gives all it may, and the
+    rest, a long one there being passed over; no document occurs more than ``max_repeats`` times. A source that can't fill its share gives all it may, and the
     others don't make up for it. Documents without tokens or without source are in no plan, but count in the total (0 tokens).
     A source in the plan without documents reaches 0; null shares or repeats count as 0; repeated target rows count once.
 
@@ -67,6 +69,7 @@ def mix(docs: DataFrame, targets: DataFrame, lean: float = LEAN, seed: int = 0)
     inside = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = usable.withColumn("upto", F.sum("n_tokens").over(inside)).join(sums, ["source", "bucket"])
     placed = placed.select("doc_id", "source", "n_tokens", (F.col("before_bucket") + F.col("upto") - F.col("n_tokens")).alias("before"))
+    placed = ws.cut(placed, "placed")  # read several times
 
     total = kept.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
     goal = targets.select(
@@ -82,11 +85,21 @@ def mix(docs: DataFrame, targets: DataFrame, lean: float = LEAN, seed: int = 0)
     goal = goal.withColumn("rest", F.col("given") - F.col("passes") * F.col("supply"))
 
     need = goal.filter("given > 0").select("plan_id", "source", "supply", "passes", "rest", "given", "slope", "max_repeats")
-    hit = placed.join(need, "source")
-    extra = F.when(F.col("before") + F.col("n_tokens") / 2 < F.col("rest"), 1).otherwise(0)
+    hit = placed.join(need, "source").withColumn("late", F.col("before")).withColumn("left_out", F.lit(False))
+    # a long document at the end of the last pass would miss the share by much: it is passed over, and the pass goes on after it
+    for _ in range(2):
+        crosses = ~F.col("left_out") & (F.col("late") < F.col("rest")) & (F.col("late") + F.col("n_tokens") >= F.col("rest"))
+        over = hit.filter(crosses & (F.col("n_tokens") > F.col("given") * LONG)).groupBy("plan_id", "source")
+        over = over.agg(F.max("late").alias("long_at"), F.max("n_tokens").alias("long_n"))  # a row per plan and source
+        hit = hit.join(over, ["plan_id", "source"], "left")
+        after = F.coalesce(~F.col("left_out") & (F.col("late") > F.col("long_at")), F.lit(False))
+        gone = F.col("left_out") | F.coalesce(F.col("late") == F.col("long_at"), F.lit(False))
+        hit = hit.withColumns({"late": F.when(after, F.col("late") - F.col("long_n")).otherwise(F.col("late")), "left_out": gone}).drop("long_at", "long_n")
+    extra = F.when(~F.col("left_out") & (F.col("late") + F.col("n_tokens") / 2 < F.col("rest")), 1).otherwise(0)
     hit = hit.withColumn("times", F.least(F.col("passes") + extra, F.col("max_repeats")).cast("int")).filter("times > 0")
     hit = hit.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    part = ((F.col("repeat_no") - 1) * F.col("supply") + F.col("before") + F.col("n_tokens") / 2) / F.col("given")
+    own = F.when(F.col("repeat_no") > F.col("passes"), F.col("late")).otherwise(F.col("before"))
+    part = ((F.col("repeat_no") - 1) * F.col("supply") + own + F.col("n_tokens") / 2) / F.col("given")
     chosen = hit.select("plan_id", invert_demand(F.least(part, F.lit(1.0)), F.col("slope")).alias("position"), "source", "doc_id", "repeat_no", "n_tokens")
 
     reached = chosen.groupBy("plan_id", "source").agg(
