@@ -71,3 +71,11 @@ def test_as_of(spark):
 def test_empty(spark):
     assert versions(spark, []) == set()
     assert versions(spark, [(None, 1, 1, "x", 1), ("e", None, 1, "x", 1), ("e", 1, 1, "bad", 1)]) == set()
+
+
+def test_columns_with_clashing_names_and_long_values(spark):
+    df = spark.createDataFrame([("e", stamp(0), 1, "x" * 100_000, 1), ("e", stamp(5), 2, "x" * 100_000, 1)], SCHEMA)
+    df = df.withColumns({c: F.lit("clash") for c in ("entity", "state", "period", "at_s", "patch", "o")})
+    obs = V.observations(df, F.col("e"), F.col("at"), [F.col("ord")], {"a": F.col("a"), "b": F.col("b")}, F.lit(True))
+    rows = V.fold(V.change_log(obs, ATTR), ATTR).collect()
+    assert [(r.entity, r.at_s, len(r.a), r.b, r.valid_to_s) for r in rows] == [("e", 0, 100_000, 1, None)]
