@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadstone.functions.text import lines
+from threadstone.operators.scanner import Source
 
 
 def numbered_lines(df: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -111,28 +116,39 @@ DECLARATIONS["kotlin"], DECLARATIONS["javascript"], DECLARATIONS["mojo"] = DECLA
 _TYPES = ["struct", "class", "trait", "enum", "interface", "scope", "union"]
 
 
+def _scanned(sources: DataFrame, key: str, language: str | None, text: str, what: str, columns: str) -> DataFrame:
+    """What the scanner finds in each text, in Arrow batches; a text is as large as its row."""
+    lang = F.col(language) if language else F.lit(None).cast("string")
+    rows = sources.filter(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), lang.alias("l"), F.col(text).alias("t"))
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = {x: [(kind, re.compile(form, re.A), *glue) for kind, form, *glue in f] for x, f in DECLARATIONS.items()}
+        for batch in batches:
+            for one in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                keys, found = [], []
+                for k, x, t in zip(*(one.column(c).to_pylist() for c in "klt"), strict=True):
+                    source = Source(t, x, forms)
+                    got = source.symbols(_TYPES) if what == "symbols" else source.calls(_TYPES) if what == "calls" else [{"imported_path": p} for p in source.imports()]
+                    keys += [k] * len(got)
+                    found += got
+                made = {"k": pa.array(keys, one.schema.field("k").type)}
+                for c in columns.split(", "):
+                    n, kind = c.split()
+                    made[n] = pa.array([f[n] for f in found], pa.int32() if kind == "int" else pa.string())
+                yield pa.RecordBatch.from_pydict(made)
+
+    return rows.mapInArrow(scan, f"k {sources.schema[key].dataType.simpleString()}, {columns}").select(F.col("k").alias(key), *names)
+
+
 def declared_symbols(sources: DataFrame, key: str, language: str, text: str) -> DataFrame:
-    """Symbols that source lines declare: ``<key>, line_no, kind, name, parent``. A function inside of a type's indentation is
-    a method, and the type its parent. Line by line, over the lines of one file in a window; declarations over several lines go
-    by their first. Texts of other languages, and null or empty ones, have none."""
-    rows = numbered_lines(sources.filter(F.col(language).isin(*DECLARATIONS)), [key, language], text)
-    first = None
-    for lang, forms in DECLARATIONS.items():  # only the forms of a line's own language are tried, the first that fits counts
-        hit = None
-        for kind, form, *glue in forms:
-            name = F.regexp_extract("line", form, 1)
-            if glue:  # two groups make the name
-                name = F.concat(name, F.lit(glue[0]), F.regexp_extract("line", form, 2))
-            test, made = F.col("line").rlike(form), F.struct(F.lit(kind).alias("kind"), name.alias("name"))
-            hit = F.when(test, made) if hit is None else hit.when(test, made)
-        first = F.when(F.col(language) == lang, hit) if first is None else first.when(F.col(language) == lang, hit)
-    found = rows.filter(F.col("line").rlike(r"\w")).select(key, language, "line_no", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"), first.alias("d")).filter(F.col("d").isNotNull())
-    found = found.select(key, language, "line_no", "indent", F.col("d.kind").alias("kind"), F.col("d.name").alias("name"))
-    above = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("kind").isin(*_TYPES), F.struct("name", "indent")), ignorenulls=True).over(above)
-    found = found.withColumn("o", owner).withColumn("inside", F.coalesce(F.col("o.indent") < F.col("indent"), F.lit(False)))
-    kind = F.when(F.col("inside") & (F.col("kind") == "function"), "method").otherwise(F.col("kind"))
-    return found.filter("kind <> 'scope'").select(key, "line_no", kind.alias("kind"), "name", F.when(F.col("inside"), F.col("o.name")).alias("parent"))
+    """Symbols that source lines declare: ``<key>, line_no, kind, name, parent, end_line, signature, doc``. A function inside of a
+    type is a method, and the type its parent. The first line decides; the end follows from braces or indentation, the
+    signature is the first line, the doc the comment lines above (Rust, C, C++). What stands in comments or strings declares
+    nothing. Texts of other languages, and null or empty ones, have none."""
+    rows = sources.filter(F.col(language).isin(*DECLARATIONS))
+    found = _scanned(rows, key, language, text, "symbols", "line_no int, kind string, name string, parent string, end_line int, signature string, doc string")
+    return found.filter("kind <> 'scope'")
 
 
 def svd_symbols(sources: DataFrame, key: str, text: str) -> DataFrame:
@@ -150,22 +166,16 @@ def svd_symbols(sources: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, "line_no", F.when(F.col("within") == "peripheral", "module").otherwise("field").alias("kind"), name.alias("name"))
 
 
-_KEYWORDS = ["if", "for", "while", "switch", "return", "catch", "fn", "def", "func", "function", "match", "else", "elif", "in", "not", "and", "or", "sizeof", "await", "new", "typeof", "defined"]
-
-
-def called_names(sources: DataFrame, key: str, text: str) -> DataFrame:
-    """Calls in source lines: ``<key>, line_no, callee``, the callee as written before its bracket. Comment lines are skipped."""
-    rows = numbered_lines(sources, [key], text).filter(~F.col("line").rlike(r"^\s*(?://|#|\*|/\*)"))
-    names = F.regexp_extract_all("line", F.lit(r"((?:[A-Za-z_]\w*(?:::|\.|->))*[A-Za-z_]\w*!?)\s*\("), F.lit(1))
-    calls = rows.filter(~F.col("line").rlike(r"\b(?:fn|def|func|function)\s")).select(key, "line_no", F.explode(names).alias("callee"))
-    return calls.filter(~F.col("callee").isin(*_KEYWORDS))
-
-
-_IMPORT = r"^\s*(?:use\s+([\w:{}, *]+)|from\s+([\w.]+)\s+import|import\s+([\w.]+)\s*$|import\s.*from\s+[\"']([^\"']+)|import\s+\"([^\"]+)\"|#\s*include\s*[<\"]([^>\"]+))"
+def called_names(sources: DataFrame, key: str, text: str, language: str = "language") -> DataFrame:
+    """Calls in source texts: ``<key>, line_no, callee, caller, caller_line``, the callee as written before its bracket, without type
+    arguments; the caller is the outermost function or method around, null for calls outside of all. Comments, strings and
+    the heads of declarations hold no calls."""
+    known = language if language in sources.columns else None
+    return _scanned(sources, key, known, text, "calls", "line_no int, callee string, caller string, caller_line int")
 
 
-def imported_paths(sources: DataFrame, key: str, text: str) -> DataFrame:
-    """Imports of source files: ``<key>, imported_path``, each once."""
-    rows = numbered_lines(sources, [key], text).filter(F.col("line").rlike(_IMPORT))
-    path = F.concat(*[F.regexp_extract("line", _IMPORT, i) for i in range(1, 7)])
-    return rows.select(key, F.trim(path).alias("imported_path")).distinct()
+def imported_paths(sources: DataFrame, key: str, text: str, language: str = "language") -> DataFrame:
+    """Imports of source texts, over several lines too: ``<key>, imported_path``, each once. Texts of no known language are looked
+    through for the forms of all."""
+    known = language if language in sources.columns else None
+    return _scanned(sources, key, known, text, "imports", "imported_path string").distinct()
