@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadstone.functions.vectors import cosine
+from threadstone.operators import textual
+from threadstone.operators import vectors as VO
 
 # The weights of the hybrid score and its cut.
 VECTOR_WEIGHT, NAME_BOOST, OUTLINE_BOOST, TEXT_BOOST, SCORE_CUT = 0.7, 0.5, 0.3, 0.2, 0.05
@@ -38,6 +40,43 @@ def hybrid(df: DataFrame, key: str, embedding: str, query: Column, text: str, li
     return ranked.orderBy(F.desc("score"), key).limit(limit)
 
 
+def nearest(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, dim: int) -> DataFrame:
+    """The k nearest rows of every query, as `vectors.search`, but rows without a usable vector count too, with cosine 0:
+    ``query_id, rank, <key>, score``. ``queries``: ``query_id, embedding``."""
+    q = queries.select(F.col("query_id").alias(key), F.col("embedding").alias(embedding))
+    near = VO.search(rows.select(key, embedding), q, key, embedding, k, dim).select("query_id", key, "score")
+    none = rows.filter(F.coalesce(F.size(embedding), F.lit(-1)) != dim).select(key).orderBy(key).limit(k)
+    rest = queries.filter(F.size("embedding") == dim).select("query_id").join(F.broadcast(none), F.lit(True)).withColumn("score", F.lit(0.0))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return near.unionByName(rest).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def hybrid_many(df: DataFrame, queries: DataFrame, key: str, embedding: str, limit: int, name: str, outline: str, body: str, dim: int, candidates: int | None = 10) -> DataFrame:
+    """`hybrid` for many queries at once: ``query_id, rank, <key>, score, <name>``. ``queries``: ``query_id, embedding, word``, the words
+    of at least three word characters.
+
+    The vector lists come from blocks of queries against parts of the rows, the boosts from the distinct words against the
+    distinct words of the texts. Without candidates a row outside of a query's vector list can only come in by a boost; so
+    the cosines that are needed besides are those of the rows that hold its word.
+    """
+    near = nearest(df, queries, key, embedding, max(limit, candidates or 0), dim).select("query_id", key, F.col("score").alias("cos"))
+    words = queries.select("query_id", "word")
+    held = None
+    for c, boost in ((name, NAME_BOOST), (outline, OUTLINE_BOOST), (body, TEXT_BOOST)):
+        one = textual.mentions(df, key, [c], words.select("word").distinct(), "word").withColumn("boost", F.lit(boost))
+        held = one if held is None else held.unionByName(one)
+    held = held.groupBy("word", key).agg(F.sum("boost").alias("boost"))
+    if candidates is None:
+        more = words.join(held, "word").select("query_id", key).join(near, ["query_id", key], "left_anti")
+        v = queries.filter(F.size("embedding") == dim).select("query_id", F.col("embedding").alias("_q"))
+        more = more.join(v, "query_id").join(df.select(key, embedding), key).select("query_id", key, cosine(embedding, "_q").alias("cos"))
+        near = near.unionByName(more)
+    scored = near.join(words, "query_id").join(held, ["word", key], "left").withColumn("score", F.lit(VECTOR_WEIGHT) * F.col("cos") + F.coalesce("boost", F.lit(0.0)))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    best = scored.filter(F.col("score") > SCORE_CUT).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)
+    return best.join(df.select(key, name), key).select("query_id", "rank", key, "score", name)
+
+
 def hierarchical(symbols: DataFrame, key: str, text: str, limit: int) -> DataFrame:
     """Symbols by how they match: exact name 1.0, in the name 0.8, the qualified name 0.7, the summary 0.5, a breadcrumb 0.4.
     With the outermost breadcrumb as parent and the summary as body. An empty text matches every name."""
@@ -86,19 +125,23 @@ RRF_K = 60
 RRF_WEIGHTS = {"vector": 0.35, "lexical": 0.35, "graph": 0.20, "temporal": 0.10}
 
 
-def ranked(df: DataFrame, stream: str, key: str, order: list, limit: int) -> DataFrame:
-    """The leading rows of a stream with their ranks: ``stream, key, rank``. The rank window sees ``limit`` rows only."""
+def ranked(df: DataFrame, stream: str, key: str, order: list, limit: int, by: list[str] | None = None) -> DataFrame:
+    """The leading rows of a stream with their ranks: ``stream, key, rank``. The rank window sees ``limit`` rows only. With ``by``, those
+    of each group, the group first."""
+    if by:
+        top = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= limit)
+        return top.select(*by, F.lit(stream).alias("stream"), F.col(key).alias("key"), "rank")
     top = df.orderBy(*order).limit(limit)
     return top.select(F.lit(stream).alias("stream"), F.col(key).alias("key"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
-def fuse(streams: list[DataFrame], k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
-    """Weighted reciprocal rank fusion: ``key, score`` and a rank column per stream. A stream adds ``weight / (k + rank)``; of a
+def fuse(streams: list[DataFrame], k: int = RRF_K, weights: dict[str, float] | None = None, by: list[str] | None = None) -> DataFrame:
+    """Weighted reciprocal rank fusion: ``key, score`` and a rank column per stream, of each ``by`` group for itself. A stream adds ``weight / (k + rank)``; of a
     key's several ranks in one stream the worst counts. Empty streams add nothing. One aggregation over all streams."""
     w = weights or RRF_WEIGHTS
     rows = streams[0]
     for s in streams[1:]:
         rows = rows.unionByName(s)
-    wide = rows.groupBy("key").agg(*[F.max(F.when(F.col("stream") == s, F.col("rank"))).alias(f"{s}_rank") for s in w])
+    wide = rows.groupBy(*(by or []), "key").agg(*[F.max(F.when(F.col("stream") == s, F.col("rank"))).alias(f"{s}_rank") for s in w])
     score = sum((F.coalesce(F.lit(x) / (F.lit(k) + F.col(f"{s}_rank")), F.lit(0.0)) for s, x in w.items()), F.lit(0.0))
     return wide.withColumn("score", score)

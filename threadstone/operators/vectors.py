@@ -38,8 +38,9 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, dim: int) -> DataFrame:
-    """The k nearest rows of every query by exact cosine: ``query_id, rank, <key>, score``; a query may find itself.
+def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, dim: int, group: str | None = None) -> DataFrame:
+    """The k nearest rows of every query by exact cosine: ``query_id, rank, <key>, score``; a query may find itself. With a
+    ``group`` column of the rows, those of every query and group: ``query_id, <group>, rank, <key>, score``.
 
     Queries come in blocks, rows in parts; every block meets every part once, in a task of its own, as one matrix product that
     keeps k rows per query; then the lists of a query are merged. Ties go to the smaller key. Vectors that are null or of another length are
@@ -49,7 +50,8 @@ def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema[key].dataType.simpleString()
     good = lambda d: d.filter(F.size(embedding) == dim)
-    r = good(rows).select(F.col(key).alias("id"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+    own = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    r = good(rows).select(F.col(key).alias("id"), own.alias("g"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
     q = good(queries).select(F.col(key).alias("id"), F.col(embedding).alias("v"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -57,27 +59,36 @@ def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = np.array(left.column("id").to_pylist())
-        out: dict = {"query_id": [], "id": [], "score": []}
+        out: dict = {"query_id": [], "g": [], "id": [], "score": []}
         if left.num_rows and right.num_rows:
             order = np.argsort(ids, kind="stable")
             base = _matrix(left.column("v"), dim)[order]
             ids = ids[order]
+            groups = np.array(left.column("g").to_pylist(), object)[order]
+            of: dict = {}
+            for i, g in enumerate(groups):
+                of.setdefault(g, []).append(i)
             qids, qm = right.column("id").to_pylist(), _matrix(right.column("v"), dim)
             for a in range(0, len(qids), QUERY_BLOCK):
-                s = qm[a : a + QUERY_BLOCK] @ base.T
-                n = min(k, s.shape[1])
-                cut = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                for i, row in enumerate(s):
-                    near = np.flatnonzero(row >= cut[i])
-                    near = near[np.argsort(-row[near], kind="stable")][:n]  # equal scores stay in the order of keys
-                    out["query_id"] += [qids[a + i]] * len(near)
-                    out["id"] += ids[near].tolist()
-                    out["score"] += row[near].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], left.schema.field("id").type), "id": pa.array(out["id"], left.schema.field("id").type), "score": pa.array(out["score"], pa.float64())})
-
-    near = r.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInArrow(score, f"query_id {kind}, id {kind}, score double")
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(key), "score")
+                every = qm[a : a + QUERY_BLOCK] @ base.T
+                for g, at in of.items():
+                    s, own = (every, ids) if len(of) == 1 else (every[:, at], ids[at])
+                    n = min(k, s.shape[1])
+                    cut = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                    for i, row in enumerate(s):
+                        near = np.flatnonzero(row >= cut[i])
+                        near = near[np.argsort(-row[near], kind="stable")][:n]  # equal scores stay in the order of keys
+                        out["query_id"] += [qids[a + i]] * len(near)
+                        out["g"] += [g] * len(near)
+                        out["id"] += own[near].tolist()
+                        out["score"] += row[near].tolist()
+        kinds = {"query_id": left.schema.field("id").type, "g": pa.string(), "id": left.schema.field("id").type, "score": pa.float64()}
+        return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
+
+    near = r.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInArrow(score, f"query_id {kind}, g string, id {kind}, score double")
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *(["g"] if group else [])).orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    shown = [F.col("g").cast(rows.schema[group].dataType).alias(group)] if group else []
+    return best.select("query_id", *shown, "rank", F.col("id").alias(key), "score")
 
 
 def mmr(candidates: DataFrame, group: str, key: str, embedding: str, query: str, limit: int, lam: float = 0.65) -> DataFrame:

@@ -272,7 +272,7 @@ def vec_leaders(spark, d):
 def _doc_vectors(spark, d):
     docs = table(spark, d, "documents").select("doc_id", search_source("source").alias("source"), T.slice_lines("text", F.lit(1), F.lit(1)).alias("outline"), "text", "created_at", "project_id")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return _with_query(spark, d, docs.join(e, "doc_id", "left"))
+    return docs.join(e, "doc_id", "left")
 
 
 def search_source(c):
@@ -289,12 +289,12 @@ SELECT doc_id, round(score, 6) AS score, source FROM (
 
 @query(_SQL_HYBRID.format(k=10))
 def hybrid_search(spark, d):
-    return search.hybrid(_doc_vectors(spark, d), "doc_id", "embedding", F.col("q"), WORD, 10, "source", "outline", "text").select("doc_id", F.round("score", 6).alias("score"), "source")
+    return search.hybrid(_with_query(spark, d, _doc_vectors(spark, d)), "doc_id", "embedding", F.col("q"), WORD, 10, "source", "outline", "text").select("doc_id", F.round("score", 6).alias("score"), "source")
 
 
 @query(_SQL_HYBRID.format(k=1_000_000_000))
 def hybrid_search_full(spark, d):
-    return search.hybrid(_doc_vectors(spark, d), "doc_id", "embedding", F.col("q"), WORD, 10, "source", "outline", "text", None).select("doc_id", F.round("score", 6).alias("score"), "source")
+    return search.hybrid(_with_query(spark, d, _doc_vectors(spark, d)), "doc_id", "embedding", F.col("q"), WORD, 10, "source", "outline", "text", None).select("doc_id", F.round("score", 6).alias("score"), "source")
 
 
 @query(
@@ -342,6 +342,89 @@ def context_pack(spark, d):
     return synthesis.packed_context(search.fuse(_streams(spark, d)).select("key", F.round("score", 9).alias("score")).join(docs, "key").withColumn("task", F.lit(WORD)), "key", "score", "tokens", "title", "text", 2000, ["task"])
 
 
+# The same for every query: all rows with vec_id % 50 = 0, each with a word, the first of four letters in its own document.
+_SQL_QUERIES = (
+    "(SELECT e.vec_id AS query_id, e.embedding AS q, e.label, coalesce(nullif(regexp_extract(lower(d.text), '[a-z][a-z][a-z][a-z]+'), ''), '" + WORD + "') AS word "
+    "FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 50 = 0)"
+)
+_SQL_COS_ALL = "coalesce(list_cosine_similarity(e.embedding::DOUBLE[], q.q::DOUBLE[]), 0.0)"
+
+
+def _queries(spark, d):
+    e = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    word = F.coalesce(F.nullif(F.regexp_extract(F.lower("text"), "[a-z][a-z][a-z][a-z]+", 0), F.lit("")), F.lit(WORD))
+    return e.join(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), "text"), "query_id", "left").select("query_id", "embedding", "label", word.alias("word"))
+
+
+@query(
+    f"SELECT query_id, label, vec_id, rank, round(s, 6) AS score FROM (SELECT query_id, e.label, e.vec_id, {_SQL_COS_ALL} AS s, row_number() OVER (PARTITION BY query_id, e.label ORDER BY {_SQL_COS_ALL} DESC, e.vec_id) AS rank FROM {_SQL_QUERIES} q, embeddings e) WHERE rank <= 5 AND s >= 0.2"
+)
+def vec_threshold_all(spark, d):
+    rows = table(spark, d, "embeddings")
+    near = VO.search(rows, rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", 5, 64, "label").filter("score >= 0.2")
+    return near.select("query_id", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+_SQL_HYBRID_ALL = f"""
+SELECT query_id, rank, doc_id, round(score, 6) AS score, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, source, 0.7 * cos + CASE WHEN contains(lower(coalesce(source, '')), word) THEN 0.5 ELSE 0 END
+    + CASE WHEN contains(lower(coalesce({_LINES.format('text')}[1], '')), word) THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(coalesce(text, '')), word) THEN 0.2 ELSE 0 END AS score
+  FROM (SELECT query_id, word, d.doc_id, {_SOURCE} AS source, d.text, {_SQL_COS_ALL} AS cos, row_number() OVER (PARTITION BY query_id ORDER BY {_SQL_COS_ALL} DESC, d.doc_id) AS n
+    FROM {_SQL_QUERIES} q CROSS JOIN documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id) WHERE n <= {{k}}) WHERE score > 0.05) WHERE rank <= 10"""
+
+
+def _hybrid_all(spark, d, candidates):
+    found = search.hybrid_many(_doc_vectors(spark, d), _queries(spark, d), "doc_id", "embedding", 10, "source", "outline", "text", 64, candidates)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "source")
+
+
+@query(_SQL_HYBRID_ALL.format(k=10))
+def hybrid_search_all(spark, d):
+    return _hybrid_all(spark, d, 10)
+
+
+@query(_SQL_HYBRID_ALL.format(k=1_000_000_000))
+def hybrid_search_full_all(spark, d):
+    return _hybrid_all(spark, d, None)
+
+
+def _streams_all(spark, d):
+    q, e = _queries(spark, d), table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    docs = table(spark, d, "documents").select("doc_id", "text", "created_at", "n_chars")
+    words = q.select("query_id", "word")
+    lexical = textual.mentions(docs, "doc_id", ["text"], words.select("word").distinct(), "word").join(docs.select("doc_id", "n_chars"), "doc_id")
+    lexical = search.ranked(lexical, "lexical", "doc_id", [F.col("n_chars"), F.col("doc_id")], 50, ["word"]).join(words, "word").drop("word")
+    same = search.ranked(e, "graph", "vec_id", [F.col("vec_id")], 50, ["label"]).join(q.select("query_id", "label"), "label").drop("label")
+    newest = search.ranked(docs, "temporal", "doc_id", [F.desc("created_at"), F.col("doc_id")], 50)
+    near = search.nearest(e, q, "vec_id", "embedding", 50, 64).select("query_id", F.lit("vector").alias("stream"), F.col("vec_id").alias("key"), "rank")
+    return [near, lexical, same, q.select("query_id").join(F.broadcast(newest), F.lit(True))]  # 50 rows
+
+
+_SQL_STREAMS_ALL = f"""(
+  SELECT query_id, 'vector' AS stream, e.vec_id AS key, row_number() OVER (PARTITION BY query_id ORDER BY {_SQL_COS_ALL} DESC, e.vec_id) AS rank FROM {_SQL_QUERIES} q, embeddings e
+  UNION ALL SELECT query_id, 'lexical', doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars NULLS FIRST, doc_id) FROM {_SQL_QUERIES} q JOIN documents d ON contains(lower(d.text), q.word)
+  UNION ALL SELECT query_id, 'graph', e.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY e.vec_id) FROM {_SQL_QUERIES} q JOIN embeddings e ON e.label = q.label
+  UNION ALL SELECT query_id, 'temporal', doc_id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC NULLS LAST, doc_id) FROM {_SQL_QUERIES} q, documents)"""
+
+
+@query(
+    f"""SELECT query_id, key, round(coalesce(0.35 / (60 + v), 0) + coalesce(0.35 / (60 + l), 0) + coalesce(0.20 / (60 + g), 0) + coalesce(0.10 / (60 + t), 0), 9) AS score, v AS vector_rank, l AS lexical_rank, g AS graph_rank, t AS temporal_rank FROM (
+  SELECT query_id, key, max(CASE WHEN stream = 'vector' THEN rank END) AS v, max(CASE WHEN stream = 'lexical' THEN rank END) AS l, max(CASE WHEN stream = 'graph' THEN rank END) AS g,
+         max(CASE WHEN stream = 'temporal' THEN rank END) AS t FROM {_SQL_STREAMS_ALL} WHERE rank <= 50 GROUP BY query_id, key)"""
+)
+def rrf_fuse_all(spark, d):
+    return search.fuse(_streams_all(spark, d), by=["query_id"]).select("query_id", "key", F.round("score", 9).alias("score"), *[f"{s}_rank" for s in search.RRF_WEIGHTS])
+
+
+@query()
+def context_pack_all(spark, d):
+    """A packed context for every query."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", F.coalesce(search_source("source"), F.lit("")).alias("title"), K.estimate_tokens("text").alias("tokens"))
+    fused = search.fuse(_streams_all(spark, d), by=["query_id"]).select("query_id", "key", F.round("score", 9).alias("score"))
+    packed = fused.join(docs, "key").join(_queries(spark, d).select("query_id", F.col("word").alias("task")), "query_id")
+    return synthesis.packed_context(packed, "key", "score", "tokens", "title", "text", 2000, ["query_id", "task"])
+
+
 @query(
     f"SELECT doc_id, round(list_sum(e), 4) AS total, round(e[1] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS e0, round(e[32] / sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS e31 FROM "
     "(SELECT doc_id, list_transform(range(0, 32), lambda i: ('0x' || substr(sha256(text), (2 * i + 1)::BIGINT, 2))::INT / 255.0::DOUBLE * 2.0::DOUBLE - 1.0::DOUBLE) AS e FROM documents WHERE text IS NOT NULL)"
@@ -732,7 +815,7 @@ def grounded_answer(spark, d):
     texts = lambda df, c: df.agg(F.array_sort(F.collect_list(F.struct("k", c))).alias("x")).select(F.transform("x", lambda v: v[c]).alias("x"))
     recalled = texts(search.recall(m, "id", 5, kind="error").select(F.col("id").alias("k"), F.struct("kind", "title", "content").alias("m")), "m")
     rules = texts(search.active_rules(m, "id").select(F.col("id").alias("k"), "title"), "title").withColumnRenamed("x", "r")
-    hits = search.hybrid(_doc_vectors(spark, d), "doc_id", "embedding", F.col("q"), WORD, 3, "source", "outline", "text")
+    hits = search.hybrid(_with_query(spark, d, _doc_vectors(spark, d)), "doc_id", "embedding", F.col("q"), WORD, 3, "source", "outline", "text")
     snippets = texts(hits.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")), "text").withColumnRenamed("x", "s")
     one = recalled.join(rules, F.lit(True)).join(snippets, F.lit(True))  # a row each
     return one.select(F.lit(WORD).alias("question"), synthesis.answer(F.lit(WORD), F.col("x"), F.col("r"), F.col("s"), 1000).alias("answer"))
