@@ -29,3 +29,9 @@ def test_full_search_takes_boosted_rows_outside_of_the_vector_list(spark):
     assert got == {(1, 1): (50, 1.0), (1, 2): (0, 0.7), (1, 3): (1, 0.7), (2, 1): (50, 0.7)}
     near = search.nearest(df, q, "id", "v", 3, 4).filter(F.col("query_id") == 2).orderBy("rank").collect()
     assert [r.id for r in near] == [50, 0, 1]
+
+
+def test_walks_start_at_many_roots(spark):
+    roots = {r.name for r in table(spark, DATA, "symbols").filter("row_id % 50 = 0").collect()}
+    assert len(roots) > 1 and {r.root for r in catalogue.QUERIES["graph_explain_all"](spark, DATA).collect()} == roots
+    assert len({r.root for r in catalogue.QUERIES["graph_callees_all"](spark, DATA).collect()}) > 1

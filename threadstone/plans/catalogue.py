@@ -490,6 +490,58 @@ def graph_explain(spark, d):
     return graph.render(about, graph.impact(_edges(spark, d), _roots(spark), 1), graph_docs(spark, d))
 
 
+# The same for many roots: the names of all symbols with row_id % 50 = 0.
+_SQL_ROOTS = "(SELECT DISTINCT name AS root FROM symbols WHERE row_id % 50 = 0 AND name IS NOT NULL)"
+
+
+def _many_roots(spark, d):
+    return table(spark, d, "symbols").filter("row_id % 50 = 0 AND name IS NOT NULL").select(F.col("name").alias("root")).distinct()
+
+
+def _sql_walk_all(near: str, far: str, hops: int) -> str:
+    return (
+        f"(WITH RECURSIVE e AS {_SQL_NAME_EDGES}, w AS (SELECT root, root AS node, 0 AS hop FROM {_SQL_ROOTS} UNION SELECT w.root, e.{far}, w.hop + 1 FROM w JOIN e ON e.{near} = w.node WHERE w.hop < {hops}) "
+        "SELECT root, node, min(hop) AS hop FROM w WHERE hop > 0 GROUP BY root, node)"
+    )
+
+
+@query(f"SELECT *, 'callees' AS direction FROM {_sql_walk_all('src', 'dst', 3)}")
+def graph_callees_all(spark, d):
+    return graph.neighbourhood(_edges(spark, d), _many_roots(spark, d), 3, "callees")
+
+
+@query(f"SELECT *, 'callers' AS direction FROM {_sql_walk_all('dst', 'src', 3)}")
+def graph_callers_all(spark, d):
+    return graph.neighbourhood(_edges(spark, d), _many_roots(spark, d), 3, "callers")
+
+
+@query(f"SELECT *, 'callees' AS direction FROM {_sql_walk_all('src', 'dst', 2)} UNION ALL SELECT *, 'callers' AS direction FROM {_sql_walk_all('dst', 'src', 2)}")
+def graph_impact_all(spark, d):
+    return graph.impact(_edges(spark, d), _many_roots(spark, d))
+
+
+_SQL_DOCREFS_ALL = f"(SELECT DISTINCT s.name AS root, r.doc_section_id, coalesce(r.context, '') AS context FROM doc_references r JOIN symbols s ON {_cid('s.id')} = {_cid('r.symbol_id')} WHERE s.name IN (SELECT root FROM {_SQL_ROOTS}))"
+
+
+@query(f"SELECT * FROM {_SQL_DOCREFS_ALL}")
+def graph_docs_all(spark, d):
+    return graph.doc_references(table(spark, d, "doc_references"), table(spark, d, "symbols"), _many_roots(spark, d))
+
+
+@query(
+    f"""SELECT t.root, '[Target] ' || t.root || ' (' || t.kind || ') in ' || t.path || coalesce(chr(10) || '[Signature] ' || t.signature, '') || coalesce(chr(10) || '[Callers] ' || i.x, '')
+      || coalesce(chr(10) || '[Callees] ' || o.x, '') || coalesce(chr(10) || '[Documentation] ' || r.x, '') AS text
+      FROM (SELECT s.name AS root, s.kind, coalesce(f.relative_path, 'unknown') AS path, s.signature, row_number() OVER (PARTITION BY s.name ORDER BY {_cid('s.id')}, s.indexed_at, s.row_id) AS n
+        FROM symbols s LEFT JOIN {_SQL_FILES} f ON f.id = {_cid('s.file_id')} WHERE s.name IN (SELECT root FROM {_SQL_ROOTS})) t
+      LEFT JOIN (SELECT root, string_agg(node, ', ' ORDER BY node) AS x FROM {_sql_walk_all('dst', 'src', 1)} GROUP BY 1) i ON i.root = t.root
+      LEFT JOIN (SELECT root, string_agg(node, ', ' ORDER BY node) AS x FROM {_sql_walk_all('src', 'dst', 1)} GROUP BY 1) o ON o.root = t.root
+      LEFT JOIN (SELECT root, string_agg(DISTINCT doc_section_id, ' | ' ORDER BY doc_section_id) AS x FROM {_SQL_DOCREFS_ALL} GROUP BY 1) r ON r.root = t.root WHERE t.n = 1"""
+)
+def graph_explain_all(spark, d):
+    about = graph.targets(table(spark, d, "symbols"), _files(spark, d), _many_roots(spark, d))
+    return graph.render(about, graph.impact(_edges(spark, d), _many_roots(spark, d), 1), graph_docs_all(spark, d))
+
+
 @query(
     f"""SELECT a.caller_id, a.callee_name, coalesce(s.name, a.caller_id) AS caller_name, a.line, a.n_calls FROM (
       SELECT caller_id, callee_name, arg_max(line, (valid_from, line, edge_id)) AS line, count(DISTINCT edge_id) AS n_calls FROM (
@@ -808,6 +860,16 @@ def pack_callers(spark, d):
     return packing.pack(near, ["root"], "node", "score", "tokens", 200)
 
 
+@query(
+    f"""SELECT root, node, tokens, row_number() OVER (PARTITION BY root ORDER BY tokens, node) AS pack_rank, used FROM (SELECT root, node, tokens, sum(tokens) OVER (PARTITION BY root ORDER BY tokens, node ROWS UNBOUNDED PRECEDING)::BIGINT AS used
+      FROM (SELECT root, node, {_TOKENS.format('node')} AS tokens FROM {_sql_walk_all('dst', 'src', 1)})) WHERE used <= 200"""
+)
+def pack_callers_all(spark, d):
+    """Callers of each root packed into a budget."""
+    near = graph.neighbourhood(_edges(spark, d), _many_roots(spark, d), 1, "callers").select("root", "node", F.lit(1.0).alias("score"), K.estimate_tokens("node").alias("tokens"))
+    return packing.pack(near, ["root"], "node", "score", "tokens", 200)
+
+
 @query()
 def grounded_answer(spark, d):
     """An answer from recalled memories, rules and snippets, within a budget."""
