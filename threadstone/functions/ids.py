@@ -42,13 +42,20 @@ def canonical_id(x) -> Column:
     return F.nullif(bare, F.lit(""))
 
 
+def _without(x: Column, form: str) -> Column:
+    """A text without what the form matches, again and again, once per opening bracket."""
+    n = F.size(F.split(x, "[<(]"))
+    return F.when(x.rlike("[<(]"), F.aggregate(F.sequence(F.lit(1), n), x, lambda s, _: F.regexp_replace(s, form, ""))).otherwise(x)
+
+
 def bare_callee(x) -> Column:
     """The bare name of a callee as written in source: no qualification, receiver, type arguments, call mark or blanks.
-    Letter case is kept. Null and blank become null."""
-    s = F.regexp_replace(_c(x), r"\s+", "")
+    Brackets go innermost first, however deep; what follows one that stays open is no name. Letter case is kept. Null and
+    blank become null."""
+    s = F.replace(F.regexp_replace(_c(x), r"\s+", ""), F.lit("->"), F.lit("."))
+    for form in (r"<[^<>()]*>|\([^<>()]*\)", r"\([^()]*\)", r"<[^<>]*>"):
+        s = _without(s, form)
     s = F.regexp_replace(s, r"!?\(.*$|!$", "")
-    for _ in range(3):  # nested type arguments, innermost first
-        s = F.regexp_replace(s, r"<[^<>]*>", "")
     s = F.regexp_replace(s, r"(::)+$", "")
     s = F.regexp_extract(s, r"([^.:>]*)$", 1)
     return F.nullif(s, F.lit(""))
