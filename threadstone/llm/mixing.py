@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 
 from threadstone.session import Workspace
 
-#: Buckets that each source is cut into for running totals: what one task must sort is a source's tokens by this number.
-BUCKETS = 512
+#: Documents that a bucket of a source should hold; running totals are made bucket by bucket, so this is what one task sorts.
+ROWS_PER_BUCKET = 100_000
 #: How far the schedules lean: 0 keeps every weight constant; 1 lets the steepest reach zero at one end.
 LEAN = 0.6
-#: Part of a source's tokens above which a document that ends its last pass counts as long.
-LONG = 0.005
 
 
 def source_name(x: str) -> Column:
@@ -47,20 +45,25 @@ def mix(docs: DataFrame, targets: DataFrame, lean: float = LEAN, seed: int = 0)
 
     ``docs``: ``doc_id, source, n_tokens``; ``targets``: ``plan_id, size_factor, source, target_share, max_repeats``. A plan
     wants ``size_factor`` times the tokens of all documents, and of each source its share of that. A source is passed over as
-    often as its share needs, each pass in the same random order, the last one up to the document that comes nearest to the
-    rest, a long one there being passed over; no document occurs more than ``max_repeats`` times. A source that can't fill its share gives all it may, and the
+    often as its share needs, each pass in the same random order. The last pass takes the documents no longer than the rest
+    as far as they fit; its last place goes to that one of all others which comes nearest to what is then missing, if it comes
+    nearer than none.
+    No document occurs more than ``max_repeats`` times. A source that can't fill its share gives all it may, and the
     others don't make up for it. Documents without tokens or without source are in no plan, but count in the total (0 tokens).
-    A source in the plan without documents reaches 0; null shares or repeats count as 0; repeated target rows count once.
+    A source in the plan without documents reaches 0; null shares or repeats count as 0; of several target rows of a plan and
+    source the largest counts.
 
     First frame: ``plan_id, position, source, doc_id, repeat_no, n_tokens``, sorted by plan and position. Second: one row per
-    plan and source. A hot source is summed in buckets, never in one task.
+    plan and source. A hot source is summed in buckets, never in one task. Sizes are written and read while this is called.
     """
     ws = Workspace(docs.sparkSession, "mixing")
     kept = ws.cut(docs.select("doc_id", source_name("source").alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")), "sizes")
+    n_docs, total = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()  # one row
+    buckets = n_docs // ROWS_PER_BUCKET + 16
     order = F.xxhash64(F.lit(seed), "doc_id")
     usable = kept.filter((F.col("n_tokens") > 0) & F.col("source").isNotNull())
-    usable = usable.withColumn("ord", order).withColumn("bucket", F.floor((F.shiftright("ord", 1) + F.lit(2**62)) / F.lit(2**63 / BUCKETS)).cast("int"))
-    # at most BUCKETS rows per source
+    usable = usable.withColumn("ord", order).withColumn("bucket", F.floor((F.shiftright("ord", 1) + F.lit(2**62)) / F.lit(2**63 / buckets)).cast("int"))
+    # one row per source and bucket
     sums = usable.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     run = Window.partitionBy("source").orderBy("bucket")
     sums = sums.select(
@@ -68,35 +71,51 @@ def mix(docs: DataFrame, targets: DataFrame, lean: float = LEAN, seed: int = 0)
     )
     inside = Window.partitionBy("source", "bucket").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = usable.withColumn("upto", F.sum("n_tokens").over(inside)).join(sums, ["source", "bucket"])
-    placed = placed.select("doc_id", "source", "n_tokens", (F.col("before_bucket") + F.col("upto") - F.col("n_tokens")).alias("before"))
+    placed = placed.select(
+        "doc_id", "source", "n_tokens", "ord", "bucket", "supply", (F.col("before_bucket") + F.col("upto") - F.col("n_tokens")).alias("before")
+    )
     placed = ws.cut(placed, "placed")  # read several times
+    ws.drop("sizes")
 
-    total = kept.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
     goal = targets.select(
         "plan_id", F.col("size_factor").cast("double").alias("size_factor"), source_name("source").alias("source"),
         F.coalesce("target_share", F.lit(0.0)).cast("double").alias("target_share"), F.coalesce("max_repeats", F.lit(0)).cast("long").alias("max_repeats"),
-    ).filter(F.col("source").isNotNull()).dropDuplicates(["plan_id", "source"])
-    supply = sums.groupBy("source").agg(F.first("supply").alias("supply"))
-    # one total row beside a table of plans
-    goal = schedules(goal, lean).join(total, F.lit(True)).join(supply, "source", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
-    wanted = F.col("size_factor") * F.col("target_share") * F.col("total")
+    ).filter(F.col("source").isNotNull())
+    goal = goal.groupBy("plan_id", "source").agg(F.max(F.struct("target_share", "max_repeats", "size_factor")).alias("g")).select("plan_id", "source", "g.*")
+    supply = placed.groupBy("source").agg(F.first("supply").alias("supply"))  # the same in all rows of a source
+    goal = schedules(goal, lean).join(supply, "source", "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
+    wanted = F.col("size_factor") * F.col("target_share") * F.lit(int(total))
     goal = goal.withColumn("wanted", wanted).withColumn("given", F.least(wanted, (F.col("supply") * F.col("max_repeats")).cast("double")))
     goal = goal.withColumn("passes", F.when(F.col("supply") > 0, F.floor(F.col("given") / F.col("supply"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("given") - F.col("passes") * F.col("supply"))
 
-    need = goal.filter("given > 0").select("plan_id", "source", "supply", "passes", "rest", "given", "slope", "max_repeats")
-    hit = placed.join(need, "source").withColumn("late", F.col("before")).withColumn("left_out", F.lit(False))
-    # a long document at the end of the last pass would miss the share by much: it is passed over, and the pass goes on after it
-    for _ in range(2):
-        crosses = ~F.col("left_out") & (F.col("late") < F.col("rest")) & (F.col("late") + F.col("n_tokens") >= F.col("rest"))
-        over = hit.filter(crosses & (F.col("n_tokens") > F.col("given") * LONG)).groupBy("plan_id", "source")
-        over = over.agg(F.max("late").alias("long_at"), F.max("n_tokens").alias("long_n"))  # a row per plan and source
-        hit = hit.join(over, ["plan_id", "source"], "left")
-        after = F.coalesce(~F.col("left_out") & (F.col("late") > F.col("long_at")), F.lit(False))
-        gone = F.col("left_out") | F.coalesce(F.col("late") == F.col("long_at"), F.lit(False))
-        hit = hit.withColumns({"late": F.when(after, F.col("late") - F.col("long_n")).otherwise(F.col("late")), "left_out": gone}).drop("long_at", "long_n")
-    extra = F.when(~F.col("left_out") & (F.col("late") + F.col("n_tokens") / 2 < F.col("rest")), 1).otherwise(0)
-    hit = hit.withColumn("times", F.least(F.col("passes") + extra, F.col("max_repeats")).cast("int")).filter("times > 0")
+    need = goal.filter("given > 0").select("plan_id", "source", "passes", "rest", "given", "slope")
+    key = ["plan_id", "source"]
+    hit = placed.join(need, "source").withColumn("small", F.col("n_tokens") <= F.col("rest"))
+    # the bucket in which the documents that are no longer than the rest reach it: from one row per plan, source and bucket
+    along = Window.partitionBy(*key).orderBy("bucket")
+    levels = hit.filter("small").groupBy(*key, "bucket").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
+    levels = levels.withColumn("below", F.sum("t").over(along) - F.col("t")).filter(F.col("below") + F.col("t") > F.col("rest"))
+    edge = levels.groupBy(*key).agg(F.min(F.struct("bucket", "below")).alias("e")).select(*key, F.col("e.bucket").alias("edge"), F.col("e.below").alias("below"))
+    hit = hit.join(edge, key, "left")
+    # in that bucket alone documents are counted one by one
+    last = hit.filter(F.col("small") & (F.col("bucket") == F.col("edge")))
+    last = last.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy(*key).orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    last = last.filter(F.col("below") + F.col("upto") <= F.col("rest")).groupBy(*key).agg(F.max(F.struct("ord", "doc_id")).alias("upmost"))
+    hit = hit.join(last, key, "left")
+    inside = F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | F.coalesce(F.struct("ord", "doc_id") <= F.col("upmost"), F.lit(False))
+    hit = hit.withColumn("fits", F.col("small") & inside)
+    filled = hit.groupBy(*key).agg(
+        F.coalesce(F.sum(F.when(F.col("fits"), F.col("n_tokens"))), F.lit(0)).alias("filled"), F.max(F.when(F.col("fits"), F.col("before") + F.col("n_tokens"))).alias("cut"),
+    )
+    hit = hit.join(filled, key).withColumn("off", F.abs(F.col("n_tokens") - (F.col("rest") - F.col("filled"))))
+    nearest = hit.filter(~F.col("fits") & (F.col("off") < F.col("rest") - F.col("filled")))
+    nearest = nearest.groupBy(*key).agg(F.min_by("doc_id", F.struct("off", "ord", "doc_id")).alias("last_doc"))
+    hit = hit.join(nearest, key, "left")
+    ends = F.coalesce(F.col("doc_id") == F.col("last_doc"), F.lit(False))
+    # the pass's places are drawn together to the tokens that it has
+    hit = hit.withColumn("late", F.when(F.col("fits"), F.col("before") * F.col("filled") / F.col("cut")).otherwise(F.col("filled")))
+    hit = hit.withColumn("times", (F.col("passes") + F.when(F.col("fits") | ends, 1).otherwise(0)).cast("int")).filter("times > 0")
     hit = hit.withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("times"))))
     own = F.when(F.col("repeat_no") > F.col("passes"), F.col("late")).otherwise(F.col("before"))
     part = ((F.col("repeat_no") - 1) * F.col("supply") + own + F.col("n_tokens") / 2) / F.col("given")
