@@ -1,6 +1,8 @@
 """Token ids against the public library that the vocabulary belongs to, and against one merge at a time."""
 
+import base64
 import random
+import time
 
 import numpy as np
 import pytest
@@ -53,6 +55,45 @@ def test_matrix_rounds_and_bulk_merges_agree():
         assert ids[0, : n[0]].tolist() == BPE._merge_long(rows[0].copy()).tolist()
 
 
+def plain(ids):
+    """One merge at a time: the leftmost pair of minimum rank."""
+    ids = list(ids)
+    while len(ids) > 1:
+        ranks = BPE.table.lookup(np.array(ids[:-1]), np.array(ids[1:]))
+        at = int(ranks.argmin())
+        if ranks[at] == K.NONE:
+            break
+        ids[at : at + 2] = [int(ranks[at])]
+    return ids
+
+
+def unions_before_a_part():
+    """Tokens' texts whose rank is smaller than that of a part they are made of: where merging in bulk could go wrong."""
+    with open(f"{K.VOCABULARIES}/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f)}
+    return [t for t, r in ranks.items() for i in range(1, len(t)) if ranks.get(t[:i], -1) > r and t[i:] in ranks or ranks.get(t[i:], -1) > r and t[:i] in ranks]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_rows_merge_as_one_by_one(seed):
+    rnd = random.Random(seed)
+    tricky = sorted(set(unions_before_a_part()))
+    assert len(tricky) > 5000
+    for t in rnd.sample(tricky, 60):
+        cuts = [t[:i] for i in range(1, len(t) + 1)] + [t[i:] for i in range(len(t))]
+        raw = b"".join(rnd.choice(cuts) for _ in range(rnd.randint(2, 60)))
+        row = BPE.byte[np.frombuffer(raw, np.uint8)]
+        assert BPE._merge_long(row).tolist() == plain(row), raw
+
+
+def test_a_run_of_many_letters_takes_seconds():
+    rnd = random.Random(3)
+    text = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=400_000))
+    began = time.perf_counter()
+    ids = ids_of([text])[0]
+    assert time.perf_counter() - began < 10 and len(ids) < 300_000
+
+
 def test_pair_table():
     rnd = np.random.default_rng(1)
     keys = np.unique(rnd.integers(0, 50_000, (5000, 2)), axis=0).astype(np.int32)

@@ -126,19 +126,43 @@ class Bpe:
         return done, lengths
 
     def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        """One long row: each round merges every occurrence, from the left, of the pair of minimum rank. Unions of a token
-        rank after it, so this is what merging them one by one gives."""
-        while len(ids) > 1:
-            rank = self.table.lookup(ids[:-1], ids[1:])
-            least = rank.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(rank == least)
-            run = np.r_[0, np.cumsum(np.diff(at) > 1)]
-            at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]  # of overlapping occurrences, every other one
-            ids[at] = least
-            ids = np.delete(ids, at + 1)
-        return ids
+        """One long row as a matrix of its own. A round merges the leftmost pair of minimum rank and, of its further occurrences,
+        those up to the first one whose union makes a pair of smaller rank with a neighbour: merging one by one would turn to
+        that pair next, and to no other pair before. Merged places are skipped by links until half of the row is gone."""
+        ids, n = ids.copy(), len(ids)
+        while True:
+            nxt, prv, kept = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+            rank = np.r_[self.table.lookup(ids[:-1], ids[1:]), NONE]
+            alive = n
+            while alive > n // 2:
+                least = rank.min()
+                if least == NONE:
+                    return ids[kept]
+                at = np.flatnonzero(rank == least)
+                touch = np.r_[False, nxt[at[:-1]] == at[1:]]
+                start = np.maximum.accumulate(np.where(touch, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - start) % 2 == 0]  # of overlapping occurrences, every other one
+                right = nxt[at]
+                after, before = nxt[right], prv[at]
+                left_ids = np.where(before >= 0, ids[np.maximum(before, 0)], -1)
+                left_ids[1:][before[1:] == right[:-1]] = least
+                union = np.full(len(at), least, np.int32)
+                right_ids = np.where(after < n, ids[np.minimum(after, n - 1)], -1)
+                turns = np.flatnonzero(np.minimum(self.table.lookup(left_ids, union), self.table.lookup(union, right_ids)) < least)
+                if len(turns):
+                    k = turns[0] + 1
+                    at, right, after, union = at[:k], right[:k], after[:k], union[:k]
+                ids[at], rank[right], nxt[at], kept[right] = least, NONE, after, False
+                inner = after < n
+                prv[after[inner]] = at[inner]
+                rank[at] = NONE
+                rank[at[inner]] = self.table.lookup(union[inner], ids[after[inner]])
+                before = prv[at]
+                has = before >= 0
+                rank[before[has]] = self.table.lookup(ids[before[has]], union[has])
+                alive -= len(at)
+            ids = ids[kept]
+            n = len(ids)
 
     def pretokens(self, tokens: list[str]) -> list[np.ndarray]:
         """Ids of each pretoken."""
