@@ -18,15 +18,18 @@ from pyspark.sql import functions as F
 
 #: Bounds of the fit: labelled documents used, words graded, documents that a graded word must occur in.
 FIT_DOCS, FIT_WORDS, MIN_DOCS = 20_000, 200_000, 3
+#: Part of a document's labels that must agree for it to be learnt from.
+AGREEMENT = 0.6
 LEVELS = (1, 2, 3, 4)
 QUANTILES = np.array([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
 
-_CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.S)
+_CODE = re.compile(r"```.*?```|`[^`\n]+`", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
 def words(text: str | None) -> list[str]:
-    """The words of a text's prose in lower case; code, fenced or in backticks, is left out."""
+    """The words of a text's prose in lower case; code between fences or backticks is left out. A fence that nothing closes is no
+    fence: what follows is read."""
     return _WORD.findall(_CODE.sub(" ", text).lower()) if text else []
 
 
@@ -61,10 +64,14 @@ def eligible(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", "doc_format").filter(prose & F.col("text").rlike(r"(?U)\S")).select("doc_id", "text")
 
 
-def consensus(labels: DataFrame) -> DataFrame:
-    """``doc_id, level`` of documents whose raters agree. Repeated rows count once; levels off the scale and nulls don't count."""
-    good = labels.select("doc_id", "level").filter(F.col("doc_id").isNotNull() & F.col("level").isin(*LEVELS))
-    return good.groupBy("doc_id").agg(F.min("level").alias("level"), F.max("level").alias("most")).filter("level = most").select("doc_id", "level")
+def consensus(labels: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
+    """``doc_id, level`` of documents on whose level at least the part ``agreement`` of their labels agrees (of several such levels
+    the lowest). Repeated rows count once; levels off the scale and nulls don't count."""
+    good = labels.select("doc_id", "rater", "level").filter(F.col("doc_id").isNotNull() & F.col("level").isin(*LEVELS)).distinct()
+    votes = good.groupBy("doc_id").agg(*[F.count_if(F.col("level") == k).alias(f"v{k}") for k in LEVELS], F.count(F.lit(1)).alias("n"))
+    most = F.greatest(*[f"v{k}" for k in LEVELS])
+    level = F.coalesce(*[F.when(F.col(f"v{k}") == most, k) for k in LEVELS]).cast("long")
+    return votes.filter(most >= F.lit(agreement) * F.col("n")).select("doc_id", level.alias("level"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_words: int = FIT_WORDS, min_docs: int = MIN_DOCS) -> Model | None:
