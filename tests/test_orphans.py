@@ -3,7 +3,7 @@
 import datetime as dt
 import random
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadstone.functions.ids import bare_callee, canonical_id
@@ -57,10 +57,37 @@ def test_references_skip_null_and_blank_and_ignore_other_columns(spark):
     assert {r.src_table for r in rows} == {"t"}
 
 
-def test_keys_that_share_their_first_hash():
-    par = {k: np.array(v, np.int64) for k, v in {"h1": [5, 5, 9], "h2": [1, 2, 1], "from": [0, 10, 0], "to": [5, 20, 9]}.items()}
-    refs = {k: np.array(v, np.int64) for k, v in {"h1": [5, 5, 5, 5, 9, 7], "h2": [1, 2, 2, 3, 1, 1], "at": [3, 3, 15, 3, 8, 1]}.items()}
-    assert O._probe(refs, par).tolist() == [True, False, True, False, True, False]
+def test_lives_merge():
+    rnd = random.Random(1)
+    rows = [(rnd.choice("abc"), a, a + rnd.randint(1, 9)) for a in (rnd.randint(0, 60) for _ in range(60))]
+    t = pa.table({"key": [r[0] for r in rows], "from_us": pa.array([r[1] for r in rows], pa.int64()), "to_us": pa.array([r[2] for r in rows], pa.int64())})
+    m = O.merge_lives(t).to_pylist()
+    for k in "abcd":
+        for at in range(80):
+            assert any(r["key"] == k and r["from_us"] <= at < r["to_us"] for r in m) == any(r[0] == k and r[1] <= at < r[2] for r in rows)
+    by = sorted((r["key"], r["from_us"], r["to_us"]) for r in m)
+    assert all(x[0] != y[0] or x[2] < y[1] for x, y in zip(by, by[1:])), "disjoint"
+
+
+def test_one_key_of_very_many_lives(spark):
+    """A key with 300,000 disjoint lives is cut by time; no range holds much more than its share, and results are right."""
+    n = 300_000
+    pars = spark.range(n).select(F.lit("s").alias("space"), F.lit("hot").alias("key"), (F.col("id") * 10).alias("from_us"), (F.col("id") * 10 + 5).alias("to_us"))
+    pars = pars.unionByName(spark.range(2000).select(F.lit("s").alias("space"), F.concat(F.lit("k"), "id").alias("key"), F.lit(0).cast("long").alias("from_us"), F.lit(O.FOREVER).alias("to_us")))
+    refs = spark.range(50_000).select(
+        F.lit("a").alias("src_table"), F.lit("x").alias("field_name"), F.col("id").alias("row_id"), F.lit("hot").alias("key"), (F.col("id") * 61 + 3).alias("at_us")
+    )
+    got = {r.row_id for r in O.orphans(refs, pars, INTO, n_ranges=12).collect()}
+    assert got == {i for i in range(50_000) if (i * 61 + 3) % 10 >= 5 or (i * 61 + 3) // 10 >= n}
+    keys, times = O._bounds(pars.select(F.concat(F.lit("0"), "key").alias("key"), "from_us"), 12, n + 2000)
+    assert list(keys).count("0hot") >= 10 and sorted(times[:10]) == list(times[:10])
+
+
+def test_a_long_life_reaches_over_ranges(spark):
+    pars = [("s", "hot", 0, 10_000), *(("s", "hot", 20_000 + i * 10, 20_000 + i * 10 + 1) for i in range(400))]
+    refs = [("a", "x", i, "hot", i * 100 + 50) for i in range(260)]
+    got = run(spark, refs, pars, n_ranges=6)
+    assert {k[2] for k in got} == {i for i in range(260) if not any(p[2] <= i * 100 + 50 < p[3] for p in pars)}
 
 
 def test_writings_of_ids_and_callees(spark):
