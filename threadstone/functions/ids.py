@@ -38,8 +38,9 @@ def vector_set_id(model, quantization, dim, pooling, normalized) -> Column:
 def canonical_id(x) -> Column:
     """The record that an id names, whatever the writing: lower case, no outer blanks, no record-link notation
     (``table:id`` or ``table:⟨id⟩``). Null and blank become null."""
-    bare = F.regexp_replace(F.lower(F.trim(_c(x))), r"^[a-z_]+:|[⟨⟩`\s]", "")
-    return F.nullif(bare, F.lit(""))
+    low = F.lower(F.trim(_c(x)))
+    bare = F.when(F.contains(low, F.lit(":")), F.regexp_replace(low, r"^[a-z_]+:", "")).otherwise(low)
+    return F.nullif(F.translate(bare, "⟨⟩` \t\n\x0b\f\r", ""), F.lit(""))
 
 
 def _without(x: Column, form: str) -> Column:
@@ -52,10 +53,13 @@ def bare_callee(x) -> Column:
     """The bare name of a callee as written in source: no qualification, receiver, type arguments, call mark or blanks.
     Brackets go innermost first, however deep; what follows one that stays open is no name. Letter case is kept. Null and
     blank become null."""
-    s = F.replace(F.regexp_replace(_c(x), r"\s+", ""), F.lit("->"), F.lit("."))
+    s = F.replace(F.translate(_c(x), " \t\n\x0b\f\r", ""), F.lit("->"), F.lit("."))
+    s = F.when(F.endswith(s, F.lit(")")), F.regexp_replace(s, r"!?\([^()<>]*\)$", "")).otherwise(s)
+    inner = s
     for form in (r"<[^<>()]*>|\([^<>()]*\)", r"\([^()]*\)", r"<[^<>]*>"):
-        s = _without(s, form)
-    s = F.regexp_replace(s, r"!?\(.*$|!$", "")
-    s = F.regexp_replace(s, r"(::)+$", "")
-    s = F.regexp_extract(s, r"([^.:>]*)$", 1)
+        inner = _without(inner, form)
+    inner = F.regexp_replace(F.regexp_replace(inner, r"!?\(.*$|!$", ""), r"(::)+$", "")
+    # most names have neither brackets nor marks
+    s = F.when(s.rlike(r"[<(!>]|::$"), inner).otherwise(s)
+    s = F.when(s.rlike(r"[.:>]"), F.regexp_extract(s, r"([^.:>]*)$", 1)).otherwise(s)
     return F.nullif(s, F.lit(""))

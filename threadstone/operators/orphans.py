@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from threadstone.session import Workspace
 
 #: Parents that one range should hold; a range of that many needs some tens of MB in a task.
-ROWS_PER_RANGE = 250_000
+ROWS_PER_RANGE = 100_000
 #: References that one probe task should hold; a range with more is probed by several tasks, each with its own copy of the parents.
 REFS_PER_PROBE = 500_000
 #: Parents of the sample from which the ranges' bounds are taken, per range. It balances ranges and changes no result.
