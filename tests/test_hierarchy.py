@@ -45,8 +45,13 @@ def random_forest(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_walking(spark, seed):
     links = random_forest(seed)
-    got, rows = run(spark, links)
+    got, rows = run(spark, links, with_sizes=True)
     want = walk(links)
+    below = {k: 0 for k in links}
+    for root, depth, path in want.values():
+        for up in (path or [])[:-1]:
+            below[up] += 1
+    assert {r.id: r.n_descendants for r in rows} == below
     assert got == want
     assert {r.id for r in rows if r.on_cycle} == {k for k, v in want.items() if v[1] == -1}
 
@@ -63,7 +68,20 @@ def test_descendants_and_sizes(spark):
     tree = H.hierarchy(spark.createDataFrame(list(links.items()), "id string, parent string"))
     got = {(r.ancestor, r.descendant, r.distance) for r in H.descendants(tree).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
-    assert {r.id: r.n_descendants for r in H.subtree_sizes(tree).collect()} == {"a": 3, "b": 1, "c": 0, "d": 0, "x": 0, "y": 0}
+    sized, _ = H.hierarchy(spark.createDataFrame(list(links.items()), "id string, parent string"), with_path=False, with_sizes=True), None
+    assert {r.id: r.n_descendants for r in sized.collect()} == {"a": 3, "b": 1, "c": 0, "d": 0, "x": 0, "y": 0}
+
+
+def test_sizes_of_a_long_chain(spark):
+    """No chain is exploded: 2,000 nodes in a row, every tenth with a leaf."""
+    n = 2_000
+    chain = spark.range(n).select(F.concat(F.lit("c"), F.lpad("id", 6, "0")).alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("c"), F.lpad(F.col("id") - 1, 6, "0"))).alias("parent"))
+    leaves = spark.range(0, n, 10).select(F.concat(F.lit("l"), "id").alias("id"), F.concat(F.lit("c"), F.lpad("id", 6, "0")).alias("parent"))
+    rows = H.hierarchy(chain.unionByName(leaves), with_path=False, with_sizes=True).filter("id like 'c%'").collect()
+    assert len(rows) == n
+    for r in rows:
+        i = int(r.id[1:])
+        assert (r.depth, r.n_descendants) == (i, n - 1 - i + (n - 1) // 10 - (i - 1) // 10)
 
 
 def test_empty_and_roots_only_and_cycles_only(spark):

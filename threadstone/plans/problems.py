@@ -70,10 +70,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    tree = H.hierarchy(_links(spark, d))
-    sized = tree.join(H.subtree_sizes(tree), "id")
+    tree = H.hierarchy(_links(spark, d), with_sizes=True)
     path = F.array_join("path", "/")
-    return sized.select(F.col("id").alias("symbol_id"), F.col("root").alias("root_id"), "depth", path.alias("path"), "n_descendants", "on_cycle")
+    return tree.select(F.col("id").alias("symbol_id"), F.col("root").alias("root_id"), "depth", path.alias("path"), "n_descendants", "on_cycle")
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
