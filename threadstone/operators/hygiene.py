@@ -52,6 +52,18 @@ def condense(text: str, exit_code: Column, threshold: int = 4096, highlights: li
     return [mode.alias("mode"), n.alias("n_lines"), F.size(hit).alias("n_highlights"), body.alias("condensed")]
 
 
+def frame(stdout: str, stderr: str) -> Column:
+    """Both outputs of a command as one text."""
+    return F.concat(F.lit("STDOUT:\n"), F.coalesce(stdout, F.lit("")), F.lit("\n\nSTDERR:\n"), F.coalesce(stderr, F.lit("")))
+
+
+def cached_logs(df: DataFrame, text: str, epoch: str, exit_code: Column, threshold: int = 4096) -> DataFrame:
+    """Logs that a condenser doesn't pass through, with the name under which their raw text is kept: df, ``cache_file, raw``."""
+    t = F.coalesce(text, F.lit(""))
+    name = F.concat(F.col(epoch).cast("string"), F.lit("-"), F.substring(F.sha2(t, 256), 1, 8), F.lit(".log"))
+    return df.filter(~((F.octet_length(t) <= threshold) & (exit_code == 0))).withColumn("cache_file", name).withColumn("raw", t)
+
+
 def read_guard(reads: DataFrame, session: list[str], content: str, at: str, tie: str, forced: Column | None = None) -> DataFrame:
     """Repeated reads: adds ``suppressed`` (the same content as this session's last read of the path, and not forced), ``count``
     (how often in a row that content was read since it was last shown) and ``is_first``. In the order of time, equal times by

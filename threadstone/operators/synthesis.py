@@ -21,6 +21,60 @@ def packed_context(candidates: DataFrame, key: str, score: str, tokens: str, tit
     )
 
 
+# Headings and sentences of reflections and contexts.
+REFLECTION = "# Reflection: {q}\n\n## Grounded Evidence\n\n"
+CONTEXT = "# 🧠 Cognitive Context (Budget: {budget} tokens)\n\n**Task**: `{task}`\n\n"
+CONSTRAINTS, SNIPPETS = "## 📜 Active Architectural Constraints\n", "## 🧩 Relevant Symbols & Code Subgraphs\n"
+OBJECTIVE = "## 🎯 Active Project Objective\n- **Active Goal**: {goal}\n- **Next Action**: {action}\n\n"
+RULE_SCORE, RESERVED = 90.0, 50
+
+
+def reflection(question: str, standing: DataFrame, evidence: DataFrame, budget: int) -> DataFrame:
+    """One row ``question, answer, citations, from_model``: the standing model's answer (``topic, standing_answer``, one row at most),
+    else the evidence (``key, score, title, text, tokens``) packed into the budget, in the order of packing."""
+    taken = pack(evidence.withColumn("_g", F.lit(0)), ["_g"], "key", "score", "tokens", budget)
+    full = taken.select("key", "pack_rank").join(evidence.select("key", "title", "text"), "key")
+    block = F.concat(F.lit("### "), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n\n"))
+    listed = full.agg(F.array_sort(F.collect_list(F.struct("pack_rank", F.col("key").alias("k"), block.alias("b")))).alias("x"))
+    model = standing.limit(1).agg(F.first("topic").alias("topic"), F.first("standing_answer").alias("standing"))  # a row, of nulls without a model
+    has = F.col("topic").isNotNull()
+    found = F.concat(F.lit(REFLECTION.replace("{q}", question)), F.array_join(F.transform("x", lambda v: v["b"]), ""))
+    cited = F.array_join(F.transform("x", lambda v: v["k"].cast("string")), ",")
+    return listed.join(model, F.lit(True)).select(
+        F.lit(question).alias("question"), F.when(has, F.coalesce("standing", F.lit(""))).otherwise(found).alias("answer"),
+        F.when(has, F.col("topic")).otherwise(cited).alias("citations"), has.alias("from_model"),
+    )
+
+
+def context(task: str, rules: DataFrame, candidates: DataFrame, goal: str | None, action: str | None, budget: int) -> DataFrame:
+    """One row ``task, context, n_rules, n_snippets``: rules (``n, title, pattern, solution, confidence``) with a high score and
+    candidates (``key, score, title, text, tokens``) packed into what the budget leaves beside the handoff and a reserve, then
+    written in sections."""
+    said = OBJECTIVE.replace("{goal}", goal or "").replace("{action}", action or "") if goal is not None else ""
+    lone = rules.sparkSession.range(1).select(F.greatest(F.lit(budget) - estimate_tokens(F.lit(said)) - RESERVED, F.lit(0)).alias("left")).first().left  # one row
+    rule = F.concat(
+        F.lit("- **[Rule: "), "title", F.lit("]** When `"), "pattern", F.lit("` => `"), F.coalesce("solution", F.lit("")), F.lit("` (confidence: "), F.format_number("confidence", 2), F.lit(")")
+    )
+    texts = rules.select(F.concat(F.lit("rule_"), F.lpad("n", 6, "0")).alias("key"), F.lit(RULE_SCORE).alias("score"), "title", rule.alias("text"))
+    texts = texts.withColumn("tokens", estimate_tokens("text"))
+    items = texts.unionByName(candidates.select(F.concat(F.lit("doc_"), F.lpad(F.col("key").cast("string"), 12, "0")).alias("key"), "score", "title", "text", "tokens"))
+    taken = pack(items.withColumn("_g", F.lit(0)), ["_g"], "key", "score", "tokens", lone).select("key", "pack_rank")
+    full = taken.join(items.select("key", "title", "text"), "key").withColumn("is_rule", F.startswith("key", F.lit("rule_")))
+    listed = full.agg(F.array_sort(F.collect_list(F.struct("pack_rank", "key", "is_rule", "title", "text"))).alias("x"))
+    own = lambda yes: F.filter("x", lambda v: v["is_rule"] == F.lit(yes))
+    shown_rules = F.array_join(F.transform(own(True), lambda v: F.concat(v["text"], F.lit("\n"))), "")
+    shown = F.array_join(F.transform(own(False), lambda v: F.concat(F.lit("### "), v["title"], F.lit("\n```\n"), F.coalesce(v["text"], F.lit("")), F.lit("\n```\n\n"))), "")
+    n_rules, n_snippets = F.size(own(True)), F.size(own(False))
+    text = F.concat(
+        F.lit(CONTEXT.replace("{budget}", str(budget)).replace("{task}", task) + said),
+        F.when(n_rules > 0, F.concat(F.lit(CONSTRAINTS), shown_rules, F.lit("\n"))).otherwise(""), F.when(n_snippets > 0, F.concat(F.lit(SNIPPETS), shown)).otherwise(""),
+    )
+    return listed.select(F.lit(task).alias("task"), text.alias("context"), n_rules.cast("long").alias("n_rules"), n_snippets.cast("long").alias("n_snippets"))
+
+
+# The sentences in the functions below are fixed values too: what is written has to read so.
+
+
 def answer(question: Column, memories: Column, rules: Column, snippets: Column, budget: int) -> Column:
     """A grounded answer. ``memories`` are structs of kind, title and content, rules and snippets texts. The first memory is the
     headline, else the first rule, else a fallback; other memories are bullets, then at most three snippets. A text of more
@@ -39,6 +93,11 @@ def answer(question: Column, memories: Column, rules: Column, snippets: Column,
     return F.when(long, F.concat(F.substring(text, 1, 3 * budget), F.lit(f"\n\n*(Truncated to fit {budget} token budget constraint)*\n"))).otherwise(text)
 
 
+def citations(memory_ids: Column, rules: Column) -> Column:
+    """What an answer rests on: its memories, or the first rule, or nothing."""
+    return F.when(F.size(memory_ids) > 0, F.array_join(memory_ids, ",")).when(F.size(rules) > 0, F.lit("rule_0")).otherwise(F.lit(""))
+
+
 def memory_block() -> Column:
     """A memory as a Markdown section: title, metadata bullets, content."""
     line = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"- **{name}**: "), c))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -179,3 +180,37 @@ def imported_paths(sources: DataFrame, key: str, text: str, language: str = "lan
     through for the forms of all."""
     known = language if language in sources.columns else None
     return _scanned(sources, key, known, text, "imports", "imported_path string").distinct()
+
+
+def json_paths(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``<key>, path, kind``: a row per member of every JSON text, with its dotted path; objects and arrays are of kind struct, scalars
+    of kind field. Items of arrays have the array's path. Texts that are no JSON, null and empty ones give nothing."""
+
+    def members(value, path: str) -> Iterator[tuple[str, str]]:
+        todo = [(value, path)]
+        while todo:
+            v, p = todo.pop()
+            if isinstance(v, dict):
+                for k, x in v.items():
+                    own = f"{p}.{k}" if p else k
+                    yield own, "struct" if isinstance(x, (dict, list)) else "field"
+                    todo.append((x, own))
+            elif isinstance(v, list):
+                todo += [(x, p) for x in v]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, paths, kinds = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    value = json.loads(t) if t else None
+                except (ValueError, RecursionError):
+                    continue
+                for path, kind in members(value, ""):
+                    keys.append(k)
+                    paths.append(path)
+                    kinds.append(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(paths, pa.string()), pa.array(kinds, pa.string())], names=["k", "path", "kind"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"k {kind}, path string, kind string").withColumnRenamed("k", key)

@@ -335,7 +335,21 @@ def rrf_fuse(spark, d):
     return search.fuse(_streams(spark, d)).select("key", F.round("score", 9).alias("score"), *[f"{s}_rank" for s in search.RRF_WEIGHTS])
 
 
-@query()
+def sql_pack(items: str, budget: int) -> str:
+    """Greedy packing of ``key, score, tokens``: ``key, pack_rank, used``."""
+    return f"""(WITH RECURSIVE o AS (SELECT key, tokens, row_number() OVER (ORDER BY -score / tokens, -score, tokens, key) AS rn FROM {items} WHERE tokens > 0 AND tokens <= {budget}),
+      walk AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS used, NULL::VARCHAR AS key, false AS taken
+        UNION ALL SELECT o.rn, CASE WHEN w.used + o.tokens <= {budget} THEN w.used + o.tokens ELSE w.used END, o.key::VARCHAR, w.used + o.tokens <= {budget} FROM walk w JOIN o ON o.rn = w.rn + 1)
+      SELECT key, row_number() OVER (ORDER BY rn) AS pack_rank, used FROM walk WHERE taken UNION ALL SELECT key::VARCHAR, 0, 0 FROM {items} WHERE tokens = 0)"""
+
+
+_SQL_CANDIDATES = f"""(SELECT f.key, round(f.score, 9) AS score, coalesce({_SOURCE}, '') AS title, coalesce(d.text, '') AS text, {_TOKENS.format('d.text')} AS tokens FROM {_SQL_FUSED} f JOIN documents d ON d.doc_id = f.key)"""
+
+
+@query(
+    f"""WITH c AS {_SQL_CANDIDATES}, p AS {sql_pack('c', 2000)} SELECT '{WORD}' AS task, string_agg('### ' || title || chr(10) || text, chr(10) || chr(10) ORDER BY pack_rank, c.key) AS context,
+      max(used)::BIGINT AS used, count(*) AS n_included FROM p JOIN c ON c.key::VARCHAR = p.key"""
+)
 def context_pack(spark, d):
     """Four ranked streams fused, joined with their documents and packed into a token budget."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", F.coalesce(search_source("source"), F.lit("")).alias("title"), K.estimate_tokens("text").alias("tokens"))
@@ -594,12 +608,18 @@ _OPPOSED_SQL = " OR ".join(
 _WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: strlen(w) > 3 AND w NOT IN ('never', 'always', 'prefer', 'avoid')))"
 
 
+_SQL_SAYINGS = f"(SELECT * REPLACE (CASE WHEN ascii(right(id, 1)) % 2 = 0 THEN 'Always use: ' ELSE 'Never use: ' END || coalesce(content, '') AS content) FROM {_SQL_RULES})"
+
+
 @query(
-    f"WITH r AS (SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS n FROM {_SQL_RULES}) SELECT a.id AS first, b.id AS second, a.kind AS kind FROM r a JOIN r b ON a.kind = b.kind AND a.n < b.n "
+    f"WITH r AS (SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS n FROM {_SQL_SAYINGS}) SELECT a.id AS first, b.id AS second, a.kind AS kind FROM r a JOIN r b ON a.kind = b.kind AND a.n < b.n "
     f"WHERE ({_OPPOSED_SQL}) AND len(list_intersect({_WORDS_SQL.format('a.content')}, {_WORDS_SQL.format('b.content')})) >= 2"
 )
 def conflict_pairs(spark, d):
-    return memory.conflicts(search.active_rules(_memories(spark, d), "id"), "id", "kind", "content", [F.desc_nulls_last("created_at"), F.col("id")])
+    """Conflicts among the newest rules. The tables' rules take no sides, so every rule is made to say always or never by its id."""
+    says = F.when(F.ascii(F.right("id", F.lit(1))) % 2 == 0, "Always use: ").otherwise("Never use: ")
+    rules = search.active_rules(_memories(spark, d), "id").withColumn("content", F.concat(says, F.coalesce("content", F.lit(""))))
+    return memory.conflicts(rules, "id", "kind", "content", [F.desc_nulls_last("created_at"), F.col("id")])
 
 
 @query(
@@ -685,11 +705,14 @@ def cascade_delete(spark, d):
 
 
 @query(
-    f"SELECT m.id AS memory_id, min(s.id) AS symbol_id FROM {_SQL_MEMORY} m JOIN {_SQL_SYMBOLS} s ON s.name = m.symbol_ref OR s.qualified_name = m.symbol_ref WHERE m.symbol_ref IS NOT NULL GROUP BY 1"
+    f"""WITH w AS (SELECT DISTINCT edge_id, {_SQL_CALLEE} AS n FROM call_edges), s AS (SELECT id, name, qualified_name FROM {_SQL_SYMBOLS})
+      SELECT edge_id, min(id) AS symbol_id FROM (SELECT edge_id, id FROM w JOIN s ON s.name = n UNION ALL SELECT edge_id, id FROM w JOIN s ON s.qualified_name = n) GROUP BY 1"""
 )
 def govern_links(spark, d):
+    """The first symbol that a call's name or qualified name means."""
     s = _symbols(spark, d, ["name", "qualified_name"]).withColumnRenamed("id", "symbol_id")
-    return delta.link_by_name(_memories(spark, d).select(F.col("id").alias("memory_id"), "symbol_ref"), "memory_id", "symbol_ref", s)
+    names = table(spark, d, "call_edges").select("edge_id", I.bare_callee("callee_name").alias("callee"))
+    return delta.link_by_name(names, "edge_id", "callee", s)
 
 
 @query(
@@ -870,17 +893,34 @@ def pack_callers_all(spark, d):
     return packing.pack(near, ["root"], "node", "score", "tokens", 200)
 
 
-@query()
+_SQL_RECALLED = f"(SELECT id, kind, coalesce(title, '') AS title, coalesce(content, '') AS content, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS n FROM {_SQL_MEMORY} WHERE status = 'active' AND kind = 'error')"
+
+
+@query(
+    f"""WITH m AS (SELECT * FROM {_SQL_RECALLED} WHERE n <= 5), r AS (SELECT title FROM {_SQL_RULES} ORDER BY created_at DESC NULLS LAST, id LIMIT 1),
+      h AS (SELECT coalesce(d.text, '') AS t, row_number() OVER (ORDER BY x.score DESC, x.doc_id) AS n FROM ({_SQL_HYBRID.format(k=10).rpartition("LIMIT 10")[0]} LIMIT 3) x JOIN documents d ON d.doc_id = x.doc_id),
+      whole AS (SELECT '### 🎯 Answer for: "{WORD}"' || chr(10) || chr(10)
+        || coalesce((SELECT 'Based on active project **' || upper(kind) || '** (`' || title || '`):' || chr(10) || '> ' || content || chr(10) || chr(10) FROM m WHERE n = 1),
+                    (SELECT 'According to active architectural constraints:' || chr(10) || '> ' || title || chr(10) || chr(10) FROM r),
+                    'No direct prescriptive rule or decision found for this query in project memory.' || chr(10) || chr(10))
+        || coalesce((SELECT '#### 📌 Key Supporting Decisions & Facts:' || chr(10) || string_agg('- **[' || upper(kind) || '] ' || title || '**: ' || content || chr(10), '' ORDER BY n) || chr(10) FROM m WHERE n > 1 HAVING count(*) > 0), '')
+        || coalesce((SELECT '#### 🧩 Code Symbols & Graph Context:' || chr(10) || string_agg('```' || chr(10) || t || chr(10) || '```' || chr(10), '' ORDER BY n) FROM h HAVING count(*) > 0), '') AS t)
+    SELECT '{WORD}' AS question, coalesce((SELECT string_agg(id, ',' ORDER BY n) FROM m), (SELECT 'rule_0' FROM r), '') AS citations,
+      CASE WHEN {_TOKENS.format("t")} > 1000 AND length(t) > 3000 THEN substr(t, 1, 3000) || chr(10) || chr(10) || '*(Truncated to fit 1000 token budget constraint)*' || chr(10) ELSE t END AS answer FROM whole"""
+)
 def grounded_answer(spark, d):
-    """An answer from recalled memories, rules and snippets, within a budget."""
+    """An answer from recalled memories, rules and snippets, each in the order of their rank, within a budget; with citations."""
     m = _memories(spark, d)
-    texts = lambda df, c: df.agg(F.array_sort(F.collect_list(F.struct("k", c))).alias("x")).select(F.transform("x", lambda v: v[c]).alias("x"))
-    recalled = texts(search.recall(m, "id", 5, kind="error").select(F.col("id").alias("k"), F.struct("kind", "title", "content").alias("m")), "m")
-    rules = texts(search.active_rules(m, "id").select(F.col("id").alias("k"), "title"), "title").withColumnRenamed("x", "r")
+    newest = F.struct(F.col("created_at").isNull(), -F.unix_micros(F.col("created_at").cast("timestamp")), "id")
+    listed = lambda df, rank, c, out: df.agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), c.alias("v")))).alias("x")).select(F.transform("x", lambda v: v["v"]).alias(out))
+    recalled = listed(search.recall(m, "id", 5, kind="error"), newest, F.struct("kind", "title", "content", "id"), "m")
+    rules = listed(search.active_rules(m, "id"), newest, F.coalesce("title", F.lit("")), "r")
     hits = search.hybrid(_with_query(spark, d, _doc_vectors(spark, d)), "doc_id", "embedding", F.col("q"), WORD, 3, "source", "outline", "text")
-    snippets = texts(hits.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("text")), "text").withColumnRenamed("x", "s")
+    texts = hits.select("doc_id", "score").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    snippets = listed(texts, F.struct(-F.round("score", 6), "doc_id"), F.coalesce("text", F.lit("")), "s")
     one = recalled.join(rules, F.lit(True)).join(snippets, F.lit(True))  # a row each
-    return one.select(F.lit(WORD).alias("question"), synthesis.answer(F.lit(WORD), F.col("x"), F.col("r"), F.col("s"), 1000).alias("answer"))
+    cited = synthesis.citations(F.transform("m", lambda x: x["id"]), F.col("r"))
+    return one.select(F.lit(WORD).alias("question"), cited.alias("citations"), synthesis.answer(F.lit(WORD), F.col("m"), F.col("r"), F.col("s"), 1000).alias("answer"))
 
 
 @query()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,13 +19,16 @@ MAX_KB = 512
 
 def walk(spark: SparkSession, root: str, ignored: list[str] | None = None, max_kb: int = MAX_KB) -> DataFrame:
     """Files below a folder: ``id, relative_path, language, size_bytes, content_hash, content``. Left out: ignored path prefixes
-    (relative to the root), files above the limit that aren't Markdown, and texts that aren't UTF-8. Binary assets have a short
+    (relative to the root), what the root's ignore files name, files above the limit that aren't Markdown, and texts that aren't UTF-8; hidden files, which Spark doesn't list. Binary assets have a short
     description for content, and their bytes aren't kept."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.col("path"), r"^.*?" + _quoted(root.rstrip("/")) + "/", "")
     df = raw.select(rel.alias("relative_path"), F.col("length").alias("size_bytes"), "content").withColumn("language", language("relative_path"))
     for prefix in ignored if ignored is not None else IGNORED:
         df = df.filter(~F.col("relative_path").startswith(prefix))
+    # Spark lists no hidden files, so the root's ignore files (two small ones at most) are read by their names
+    rules = [r for name in IGNORE_FILES for r in ignore_rules(_small_text(spark, f"{root.rstrip('/')}/{name}"))]
+    df = df.filter(not_ignored(F.col("relative_path"), rules))
     df = df.filter((F.col("size_bytes") <= max_kb * 1024) | F.col("relative_path").endswith(".md"))
     asset = F.format_string("Asset Type: %s\nFile: %s\nSize: %d bytes\nExtension: %s", "language", "relative_path", "size_bytes", F.regexp_extract("relative_path", r"\.([^./]*)$", 1))
     text, binary = F.col("content").cast("string"), F.col("language").isin(*BINARY)
@@ -33,6 +40,66 @@ def _quoted(s: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c != "/" else c for c in s)
 
 
+def write_tree(df: DataFrame, root: str, path: str, content: str) -> None:
+    """A file per row below a folder of the local or mounted file system, written by the tasks that hold the rows. Rows without
+    path or content write nothing."""
+
+    def run(batches):
+        for b in batches:
+            for rel, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = os.path.join(root, rel)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(f"{at}.part{uuid.uuid4().hex}", "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+                os.replace(f.name, at)  # a task that is run again replaces whole files
+            yield b.slice(0, 0)
+
+    rows = df.select(F.col(path).alias("p"), F.col(content).alias("c")).filter("p IS NOT NULL AND c IS NOT NULL")
+    rows.mapInArrow(run, "p string, c string").write.format("noop").mode("overwrite").save()
+
+
+# Files whose lines say what a walk leaves out.
+IGNORE_FILES = [".gitignore", ".indexignore"]
+
+
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """Patterns of an ignore file as (regular expression on relative paths, whether it takes back), in order: comments, ``!``,
+    anchors, folders, ``*``, ``?`` and ``**``."""
+    out = []
+    for line in text.splitlines():
+        p = line.rstrip()
+        if not p or p.startswith("#"):
+            continue
+        back, p = p.startswith("!"), p.removeprefix("!")
+        folder, p = p.endswith("/"), p.rstrip("/")
+        anchored, p = "/" in p, p.removeprefix("/")
+        body = re.sub(r"\*\*/|/\*\*|\*\*|\*|\?|[^\w/]", lambda m: {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(m[0], "\\" + m[0]), p)
+        out.append((("^" if anchored else "^(?:.*/)?") + body + ("/.*$" if folder else "(?:/.*)?$"), back))
+    return out
+
+
+def not_ignored(path, rules: list[tuple[str, bool]]):
+    """Whether a path is kept: of the rules that match it the last one decides."""
+    keep = F.lit(True)
+    for form, back in rules:
+        keep = F.when(path.rlike(form), F.lit(back)).otherwise(keep)
+    return keep
+
+
+def _small_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, '' if there is none."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """Commits of a log written as ``hash|author|subject`` lines with bodies, closed by ``---COMMIT_END---``:
     ``hash, author, message``. Pieces without the form are left out."""
@@ -68,13 +135,15 @@ def packages(spark: SparkSession, roots: list[str]) -> DataFrame:
     return df.groupBy("crate_name").agg(F.min(F.struct("root_path", "version", "description", "no_std")).alias("x")).select("crate_name", "x.*")
 
 
-def read_vault(spark: SparkSession, folder: str) -> DataFrame:
+def read_vault(spark: SparkSession, folder: str, kind_from_folder: bool = False) -> DataFrame:
     """Memories of Markdown notes, one file per kind: ``kind, id, title, status, created, tags, symbol_ref, author, content``. A
     section begins with ``## ``; metadata are bullets before the text; ``---`` lines are dropped. A section without id has a
     null one; kinds that aren't known become facts."""
     from threadstone.functions.text import memory_kind
 
-    raw = spark.read.text(f"{folder}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("stem"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("v"))
+    # notes of a kind lie in a file called so, or, as `write_vault` writes them, in files of a folder called so
+    name = F.regexp_extract(F.input_file_name(), r"kind=([^/]+)/[^/]*$" if kind_from_folder else r"([^/]+)\.md$", 1)
+    raw = spark.read.text(folder if kind_from_folder else f"{folder}/*.md", wholetext=True).select(name.alias("stem"), F.replace("value", F.lit("\r\n"), F.lit("\n")).alias("v"))
     part = raw.select("stem", F.explode(F.slice(F.split(F.concat(F.lit("\n"), "v"), "\n## "), 2, 1_000_000_000)).alias("p"))
     meta = lambda k: F.nullif(F.trim(F.replace(F.regexp_extract("p", rf"\n- \*\*{k}\*\*:[ \t]*([^\n]*)", 1), F.lit("`"), F.lit(""))), F.lit(""))
     body = F.filter(F.split("p", "\n"), lambda x, i: (i > 0) & (F.trim(x) != "---") & ~x.rlike(r"^- \*\*(ID|Status|Created|Tags|Governs Symbol|Author)\*\*:"))
@@ -119,9 +188,10 @@ def read_handoff(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", line("Session ID").alias("session_id"), line("Active Goal").alias("active_goal"), F.regexp_replace(action, r"^\s+|\s+$", "").alias("next_action"), *[items(under(h)).alias(c) for h, c in HANDOFF.items()])
 
 
-def chunked(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def chunked(files: DataFrame, symbols: DataFrame, outlined: bool = False) -> DataFrame:
     """Chunks of files: one per symbol's lines, and the whole text of files without symbols that aren't blank:
-    ``file_id, symbol_id, kind, text, start_line, end_line``."""
+    ``file_id, symbol_id, kind, text, start_line, end_line``. With ``outlined`` also the outline of each file with symbols, whose
+    ``kind, name, qualified_name, signature`` it lists."""
     from threadstone.functions.text import slice_lines
 
     own = symbols.select(F.col("file_id").alias("id"), "symbol_id", "start_line", "end_line")
@@ -129,4 +199,14 @@ def chunked(files: DataFrame, symbols: DataFrame) -> DataFrame:
     by_symbol = text.join(own, "id").select(F.col("id").alias("file_id"), "symbol_id", F.lit("symbol_chunk").alias("kind"), slice_lines("content", "start_line", "end_line").alias("text"), "start_line", "end_line")
     rest = text.join(own.select("id").distinct(), "id", "left_anti").filter(F.col("content").rlike(r"\S"))
     whole = rest.select(F.col("id").alias("file_id"), F.lit(None).cast("string").alias("symbol_id"), F.lit("file_summary").alias("kind"), F.col("content").alias("text"), F.lit(1).cast("long").alias("start_line"), F.size(lines("content")).cast("long").alias("end_line"))
-    return by_symbol.unionByName(whole)
+    both = by_symbol.filter(F.col("text") != "").unionByName(whole)
+    if not outlined:
+        return both
+    from threadstone.operators.textual import outlines
+
+    listed = outlines(symbols.withColumn("id", F.col("symbol_id")), "file_id", ["start_line", "end_line", "name", "id"])
+    size = text.select(F.col("id").alias("file_id"), F.greatest(F.size(lines("content")), F.lit(1)).cast("long").alias("end_line"))
+    top = listed.join(size, "file_id").select(
+        "file_id", F.lit(None).cast("string").alias("symbol_id"), F.lit("file_outline").alias("kind"), F.col("outline").alias("text"), F.lit(1).cast("long").alias("start_line"), "end_line"
+    )
+    return both.unionByName(top)

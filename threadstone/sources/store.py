@@ -19,7 +19,7 @@ VERSION = 1
 
 # The tables, their keys and columns.
 _S, _L, _D, _B, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
-_LIST, _VEC = T.ArrayType(T.StringType()), T.ArrayType(T.FloatType())
+_LIST, _VEC, _MAP = T.ArrayType(T.StringType()), T.ArrayType(T.FloatType()), T.MapType(T.StringType(), T.StringType())
 
 
 def _schema(**columns) -> T.StructType:
@@ -36,7 +36,7 @@ SCHEMAS = {
     "doc_reference": _schema(doc_section_id=_S, symbol_id=_S, symbol_name=_S, context=_S, created_at=_TS),
     "memory_record": _schema(id=_S, project_id=_S, session_id=_S, kind=_S, title=_S, content=_S, tags=_LIST, symbol_ref=_S, status=_S, superseded_by=_S, author=_S, confidence=_D, source_hash=_S, embedding=_VEC, created_at=_TS, valid_until=_TS),
     "governs": _schema(memory_id=_S, symbol_id=_S, relation=_S, created_at=_TS),
-    "mental_model": _schema(id=_S, topic=_S, question=_S, standing_answer=_S, referenced_symbols=_LIST, referenced_files=_LIST, source_memory_ids=_LIST, is_stale=_B, last_refreshed_at=_TS, embedding=_VEC),
+    "mental_model": _schema(id=_S, topic=_S, question=_S, standing_answer=_S, referenced_symbols=_LIST, referenced_files=_LIST, source_memory_ids=_LIST, file_hashes_snapshot=_MAP, is_stale=_B, last_refreshed_at=_TS, embedding=_VEC),
     "procedural_skill": _schema(name=_S, description=_S, triggers=_LIST, workflow_steps=_LIST, required_tools=_LIST, status=_S, success_count=_L, last_executed_at=_TS),
     "crate_catalog": _schema(crate_name=_S, root_path=_S, version=_S, description=_S, exported_types=_LIST, exported_traits=_LIST, updated_at=_TS, embedding=_VEC),
     "token_ledger": _schema(session_id=_S, model_id=_S, input_tokens=_L, output_tokens=_L, cached_tokens=_L, recorded_at=_TS),
@@ -78,11 +78,40 @@ class Store:
         fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
         df.select(*fields).write.parquet(f"{self.base}/{name}/v{(self._versions(name) or [0])[-1] + 1}")
 
-    def upsert(self, name: str, new: DataFrame) -> None:
-        """Whole rows in place of those of equal keys; of several new rows of a key one is kept."""
+    def upsert(self, name: str, new: DataFrame, order: list[str] | None = None) -> None:
+        """Whole rows in place of those of equal keys. Of several new rows of a key the last by the ``order`` columns counts, of
+        equals the largest."""
         key = KEYS.get(name, ["id"])
         fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
-        self.replace(name, delta.upsert(self.table(name), new.select(*fields).dropDuplicates(key), key))
+        given = new.select(*fields, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])])
+        plain = [f.name for f in SCHEMAS[name] if f.name not in key and not isinstance(f.dataType, T.MapType)]
+        one = delta.latest(given, key, [f"_o{i}" for i in range(len(order or []))] + plain).select(*[f.name for f in SCHEMAS[name]])
+        self.replace(name, delta.upsert(self.table(name), one, key))
+
+    def append(self, name: str, new: DataFrame) -> None:
+        """Adds rows to the current version, as ledgers and logs grow; nothing that is there is rewritten."""
+        fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
+        new.select(*fields).write.mode("append").parquet(f"{self.base}/{name}/v{(self._versions(name) or [1])[-1]}")
+
+    def lookup(self, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of many keys at once: ``keys`` has one column."""
+        key = KEYS.get(name, ["id"])[0]
+        return self.table(name).join(keys.toDF(key).distinct(), key, "left_semi")
+
+    def purge_and_replace(self, files: DataFrame, symbols: DataFrame, chunks: DataFrame) -> None:
+        """Files that have changed: what was indexed of them (symbols, chunks, imports) goes, what is given comes."""
+        gone = files.select("id").distinct()
+        for name, new in (("symbol", symbols), ("chunk", chunks), ("imports", None)):
+            kept = delta.without(self.table(name), F.col("file_id"), gone, "id")
+            if new is not None:
+                fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in new.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
+                kept = kept.select(*[f.name for f in SCHEMAS[name]]).unionByName(new.select(*fields))
+            self.replace(name, kept)
+        self.upsert("file", files)
+
+    def models(self) -> DataFrame:
+        """The mental models, last refreshed first."""
+        return self.table("mental_model").orderBy(F.desc_nulls_last("last_refreshed_at"), "topic")
 
     def get(self, name: str, value: str) -> DataFrame:
         return self.table(name).filter(F.col(KEYS.get(name, ["id"])[0]) == value).limit(1)
@@ -94,10 +123,10 @@ class Store:
     def file_outline(self, path: str) -> DataFrame:
         return self.table("chunk").filter((F.col("file_id") == file_id(F.lit(path))) & (F.col("kind") == "file_outline")).limit(1)
 
-    def sync_vault(self, folder: str, out: str) -> None:
+    def sync_vault(self, folder: str, out: str, kind_from_folder: bool = False) -> None:
         """Takes in the notes of a folder, keeping the vectors of memories whose text hasn't changed, and writes all notes."""
         old = self.table("memory_record")
-        seen = read_vault(self.spark, folder).filter(F.col("id").isNotNull()).withColumnRenamed("created", "created_at").dropDuplicates(["id"])
+        seen = read_vault(self.spark, folder, kind_from_folder).filter(F.col("id").isNotNull()).withColumnRenamed("created", "created_at").dropDuplicates(["id"])
         kept = old.select("id", F.col("content").alias("_was"), "embedding", "project_id", "session_id", "confidence", "source_hash", "superseded_by", "valid_until")
         new = seen.join(kept, "id", "left").withColumn("embedding", F.when(F.col("_was") == F.col("content"), F.col("embedding"))).drop("_was")
         self.upsert("memory_record", new)
@@ -139,10 +168,7 @@ class Store:
         old = self.table("memory_record")
         against: list[str] = []
         if embedding:
-            vector = F.array(*[F.lit(float(v)) for v in embedding])
-            near = old.filter((F.col("status") == "active") & (F.col("kind") == kind) & F.col("embedding").isNotNull()).withColumn("score", cosine("embedding", vector))
-            near = near.orderBy(F.desc("score"), "id").limit(5).filter(F.col("score") >= threshold)
-            against = sorted(r.id for r in near.filter(is_conflict("content", F.lit(content))).select("id").collect())  # five at most
+            against = sorted(r.id for r in self.near(embedding, kind, threshold).filter(is_conflict("content", F.lit(content))).select("id").collect())  # five at most
         if resolve and against:
             hit = F.col("id").isin(against)
             end = lambda c, v: F.when(hit, v).otherwise(F.col(c)).alias(c)
@@ -151,6 +177,12 @@ class Store:
         self.replace("memory_record", old.unionByName(row))
         return new["id"], against
 
+    def near(self, embedding: list[float], kind: str, threshold: float, k: int = 5) -> DataFrame:
+        """Of the k active memories of a kind that are nearest to a vector those at or above a similarity, with their score."""
+        vector = F.array(*[F.lit(float(v)) for v in embedding])
+        own = self.table("memory_record").filter((F.col("status") == "active") & (F.col("kind") == kind) & F.col("embedding").isNotNull())
+        return own.withColumn("score", cosine("embedding", vector)).orderBy(F.desc("score"), "id").limit(k).filter(F.col("score") >= threshold)
+
     def recall(self, limit: int = 5, **how) -> DataFrame:
         return search.recall(self.table("memory_record"), "id", limit, **how)
 

@@ -22,6 +22,24 @@ def read_events(spark: SparkSession, base: str, name: str = "events") -> DataFra
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def read_changes(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A table as a stream of its files, as it is."""
+    path = f"{base}/{name}.parquet"
+    seen = spark.read.parquet(path)
+    folder, glob = (path, "*") if seen.inputFiles()[0].rstrip("/") != f"file://{path}" else (base, f"{name}.parquet")
+    return spark.readStream.schema(seen.schema).option("pathGlobFilter", glob).parquet(folder)
+
+
+def apply_changes(stream: DataFrame, path: str, at, apply: Callable[[DataFrame, int], None], label: str) -> None:
+    """Runs a stream of changes over what is there now: of each path's events in a batch the last by ``at`` counts."""
+    ws = Workspace(stream.sparkSession, label)
+
+    def batch(df: DataFrame, no: int) -> None:
+        apply(df.withColumn("_at", at).groupBy(path).agg(F.max_by(F.struct("*"), "_at").alias("x")).select("x.*").drop("_at"), no)
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", ws.path("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now into a table in the shared folder and reads it. A batch that is written again
     after a failure replaces what it had written; complete results replace each other."""
