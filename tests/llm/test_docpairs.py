@@ -99,3 +99,9 @@ def test_spark(spark):
     assert sorted(x for x in got if x[0] != 8) == [(1, "go", 2), (2, "go", 2)]
     assert len([x for x in got if x[0] == 8]) == 3000
     assert D.extract(df.limit(0)).collect() == []
+
+
+def test_offsets_lead_to_the_parts():
+    text = "use x;\n\n/// Opens the door to the cold store.\n#[inline]\npub fn open_door(a: u8) -> u8 {\n    a\n}\n"
+    (p,) = D.pairs("rust", text)
+    assert text[p.doc_char :].startswith("/// Opens") and text[p.start_char :].startswith("pub fn open_door") and text[p.body_char :].startswith("{")

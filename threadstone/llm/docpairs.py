@@ -22,13 +22,18 @@ from threadstone.llm.peg import Grammar, R, alt, cap, many, no, opt, seq
 LEAST_WORDS = 4
 
 
+#: Where a pair's parts begin in its file.
+OFFSETS = ["doc_char", "start_char", "body_char"]
+
+
 class Pair(NamedTuple):
     name: str
     start_line: int
     signature: str
     doc: str
+    doc_char: int
     start_char: int
-    end_char: int
+    body_char: int
 
 
 # ---- grammars -------------------------------------------------------------------------------------------------------
@@ -183,6 +188,16 @@ LANGUAGES = {
 _MAKERS = {"rust": _rust, "python": _python, "typescript": _typescript, "go": _go, "c": _c}
 
 
+#: What stands between items: no documentation, string or comment begins in it. Words keep clear of quotes that they prefix.
+BETWEEN = {
+    "rust": re.compile(r"(?:[^/\"'#\w]++|\w++(?![\"'#]))+"),
+    "python": re.compile(r"(?:[^\"'#\w]++|(?!(?:async|def)\b)\w++(?![\"']))+"),
+    "typescript": re.compile(r"(?:[^/\"'`\w#=(,:;!&|?{}]++|\w++(?![\"'`])|[=(,:;!&|?{}](?!\s*/))+"),
+    "go": re.compile(r"(?:[^/\"'`\w]++|\w++(?![\"'`]))+"),
+    "c": re.compile(r"(?:[^/\"'#\w]++|\w++(?![\"']))+"),
+}
+
+
 @functools.lru_cache(maxsize=None)
 def grammar(language: str) -> Grammar:
     return _MAKERS[language]()
@@ -243,13 +258,15 @@ def pairs(language: str, text: str | None) -> list[Pair]:
         if not informative(doc, name):
             return None
         signature = " ".join(source[slice(*body)].split()).rstrip("{: ")
-        return Pair(name, source.count("\n", 0, at[0]) + 1, signature, doc, body[0], body[1])
+        first = min(a for label, a, _ in captures if label == "doc")
+        return Pair(name, source.count("\n", 0, at[0]) + 1, signature, doc, first, body[0], body[1])
 
-    return grammar(language).emit(text, "item", action)
+    return grammar(language).emit(text, "item", action, BETWEEN[language])
 
 
 def extract(df: DataFrame, path: str = "path", content: str = "content", key: str = "source_id") -> DataFrame:
-    """``key, path, language, name, start_line, signature, doc``: one row per documented function of every file.
+    """``key, path, language, name, start_line, signature, doc, doc_char, start_char, body_char``: one row per documented function of
+    every file, with the offsets, in characters from 0, at which its documentation, its head and its body begin.
 
     The path's ending decides on the language; files of others, and null or empty contents, give nothing. Repeated rows count
     once; copies of a content under several keys are parsed once, in the first stage, and each key gets its own rows. A key
@@ -264,12 +281,12 @@ def extract(df: DataFrame, path: str = "path", content: str = "content", key: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(lang, h, *p[:4]) for lang, h, c in zip(*(b.column(x).to_pylist() for x in ("language", "h", "c"))) for p in pairs(lang, c)]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["language", "h", "name", "start_line", "signature", "doc"])
+            rows = [(lang, h, *p) for lang, h, c in zip(*(b.column(x).to_pylist() for x in ("language", "h", "c"))) for p in pairs(lang, c)]
+            cols = list(zip(*rows)) if rows else [()] * 9
+            types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["language", "h", "name", "start_line", "signature", "doc", *OFFSETS])
 
-    parsed = once.mapInArrow(run, "language string, h string, name string, start_line long, signature string, doc string")
+    parsed = once.mapInArrow(run, "language string, h string, name string, start_line long, signature string, doc string, doc_char long, start_char long, body_char long")
     # AQE splits a content that very many keys share
     out = owners.join(parsed, ["language", "h"])
-    return out.select(F.col("k").alias(key), F.col("p").alias("path"), "language", "name", "start_line", "signature", "doc")
+    return out.select(F.col("k").alias(key), F.col("p").alias("path"), "language", "name", "start_line", "signature", "doc", *OFFSETS)

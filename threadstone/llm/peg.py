@@ -128,12 +128,17 @@ class Grammar:
 
         return capture
 
-    def emit(self, text: str, item: str, action: Callable[[str, tuple], object | None]) -> list:
+    def emit(self, text: str, item: str, action: Callable[[str, tuple], object | None], between: re.Pattern | None = None) -> list:
         """Parses text as a row of items and gives what the action makes of each one's captures (nothing for None).
-        A character that no item begins with is passed over, so every text is read to its end."""
+        What ``between`` matches is passed over at once: no item that matters may begin in it. A character that no item begins
+        with is passed over too, so every text is read to its end."""
         f, at, out = self.rules[item], 0, []
         memo: dict = {}
         while at < len(text):
+            if between is not None and (m := between.match(text, at)):
+                at = m.end()
+                if at == len(text):
+                    break
             try:
                 r = f(text, at, memo)
             except RecursionError:  # brackets nested deeper than Python's calls may be: no function's head
