@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadstone.operators import history as V
@@ -79,3 +80,19 @@ def test_columns_with_clashing_names_and_long_values(spark):
     obs = V.observations(df, F.col("e"), F.col("at"), [F.col("ord")], {"a": F.col("a"), "b": F.col("b")}, F.lit(True))
     rows = V.fold(V.change_log(obs, ATTR), ATTR).collect()
     assert [(r.entity, r.at_s, len(r.a), r.b, r.valid_to_s) for r in rows] == [("e", 0, 100_000, 1, None)]
+
+
+def test_appended_log_equals_a_whole_one_and_refuses_late_rows(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["e1", "e2", "hot"]), t, i, rnd.choice(["x", "y"]), rnd.choice([None, 1])) for i, t in enumerate(sorted(rnd.randint(0, 9000) for _ in range(200)))]
+    made = lambda part: V.observations(
+        spark.createDataFrame([(e, stamp(t), o, a, b) for e, t, o, a, b in part], SCHEMA), F.col("e"), F.col("at"), [F.col("ord")], {"a": F.col("a"), "b": F.col("b")}, F.col("a") != "bad"
+    )
+    log = V.ChangeLog(spark, str(tmp_path / "log"), ATTR, 1000)
+    for low, high in ((-1, 3000), (3000, 3100), (3100, 9001)):
+        log.append(made([r for r in rows if low <= r[1] < high]))
+    assert {(r.entity, r.at_s, r.a, r.b, r.valid_to_s) for r in log.versions().collect()} == plain(rows)
+    seen = {(r.entity, r.a, r.b) for r in log.as_of(4000).collect()}
+    assert seen == {(e, a, b) for e, t, a, b, end in plain(rows) if t <= 4000 and (end is None or end > 4000)}
+    with pytest.raises(ValueError):
+        log.append(made([("e1", 5, 999, "z", None)]))

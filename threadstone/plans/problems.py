@@ -9,7 +9,7 @@ from threadstone.functions.ids import bare_callee, canonical_id
 from threadstone.operators import hierarchy as H
 from threadstone.operators import history as V
 from threadstone.operators import orphans as O
-from threadstone.session import table
+from threadstone.session import Workspace, table
 
 _INTO = {
     ("symbols", "file_id"): "file",
@@ -95,7 +95,7 @@ WITH RECURSIVE par AS (
 _ATTRIBUTES = ["status", "superseded_by", "valid_until_s"]
 
 
-def _memory_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _memory_observations(spark: SparkSession, d: str) -> tuple[Workspace, DataFrame]:
     df = table(spark, d, "memory_snapshots")
     status = F.nullif(F.lower(F.trim("status")), F.lit(""))
     attributes = {
@@ -103,19 +103,33 @@ def _memory_log(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         "superseded_by": canonical_id("superseded_by"),
         "valid_until_s": F.floor(F.unix_micros(F.col("valid_until").cast("timestamp")) / 1_000_000).cast("long"),
     }
-    obs = V.observations(df, canonical_id("id"), F.col("snapshot_at"), [F.col("ingested_at"), F.col("row_id")], attributes, status.isNotNull())
-    return df, V.change_log(obs, _ATTRIBUTES)
-
-
-def _memory_versions(spark: SparkSession, d: str) -> DataFrame:
-    df, log = _memory_log(spark, d)
-    born = df.select(canonical_id("id").alias("entity"), F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 1_000_000).cast("long").alias("b"))
-    born = born.groupBy("entity").agg(F.min("b").alias("born"))
-    versions = V.fold(log, _ATTRIBUTES)
-    first = versions.groupBy("entity").agg(F.min("at_s").alias("at_s")).join(born, "entity")
-    first = first.select("entity", "at_s", "born")
+    order = [F.col("ingested_at"), F.col("row_id")]
+    obs = V.observations(df, canonical_id("id"), F.col("snapshot_at"), order, attributes, status.isNotNull(), F.col("created_at"))
+    ws = Workspace(spark, "history")
+    return ws, ws.cut(obs, "observations")
+
+
+def _memory_log(spark: SparkSession, d: str, parts: int = 1) -> tuple[V.ChangeLog, DataFrame]:
+    """The stored change log, written in so many appends, and the observations."""
+    ws, obs = _memory_observations(spark, d)
+    log = V.ChangeLog(spark, ws.path("log"), _ATTRIBUTES)
+    first, last = obs.agg(F.min("at_s"), F.max("at_s")).first() if parts > 1 else (None, None)
+    if first is None:
+        log.append(obs)
+        return log, obs
+    step = (last - first) // parts + 1
+    for i in range(parts):
+        log.append(obs.filter((F.col("at_s") >= first + i * step) & (F.col("at_s") < first + (i + 1) * step)))
+    return log, obs
+
+
+def _memory_versions(spark: SparkSession, d: str, parts: int = 1) -> DataFrame:
+    log, obs = _memory_log(spark, d, parts)
+    versions = log.versions()
+    # the first version of an entity begins at its birth: one small row per entity
+    first = log.log().groupBy("entity").agg(F.min("at_s").alias("at_s")).join(V.births(obs), "entity")
     return versions.join(first, ["entity", "at_s"], "left").select(
-        F.col("entity").alias("memory_id"), F.coalesce("born", "at_s").alias("valid_from_s"), F.coalesce("valid_to_s", F.lit(-1).cast("long")).alias("valid_to_s"), *_ATTRIBUTES
+        F.col("entity").alias("memory_id"), F.coalesce("born_s", "at_s").alias("valid_from_s"), F.coalesce("valid_to_s", F.lit(-1).cast("long")).alias("valid_to_s"), *_ATTRIBUTES
     )
 
 
@@ -127,9 +141,23 @@ def p5_history(spark: SparkSession, d: str) -> DataFrame:
     return _memory_versions(spark, d)
 
 
+def p5_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The same history from a log to which the snapshots were appended in three parts."""
+    return _memory_versions(spark, d, 3)
+
+
+AS_OF_S = 1_735_689_600  # 2025-01-01
+
+
+def p5_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The state of every memory at one time, from checkpoints and patches."""
+    log, _ = _memory_log(spark, d)
+    return log.as_of(AS_OF_S).select(F.col("entity").alias("memory_id"), *_ATTRIBUTES)
+
+
 def p5_storage(spark: SparkSession, d: str) -> DataFrame:
     """The change log itself: checkpoints and patches."""
-    _, log = _memory_log(spark, d)
+    log = _memory_log(spark, d)[0].log()
     return log.select(
         F.col("entity").alias("memory_id"), "period", "at_s", "is_checkpoint", "is_change",
         *[F.col(f"patch.{a}").isNotNull().alias(f"patches_{a}") for a in _ATTRIBUTES], *[F.col(f"patch.{a}.v").alias(a) for a in _ATTRIBUTES],
@@ -167,6 +195,8 @@ QUERIES = {
     "p2_descendants": p2_descendants,
     "p5_found": p5_found,
     "p5_history": p5_history,
+    "p5_appended": p5_appended,
+    "p5_as_of": p5_as_of,
     "p5_storage": p5_storage,
 }
 
@@ -183,4 +213,14 @@ SQL = {
       SELECT id, depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) AS pos FROM tree) WHERE ancestor <> id""",
     "p5_found": _SQL_HISTORY + "SELECT memory_id, valid_from_s, valid_to_s FROM versions",
     "p5_history": _SQL_HISTORY + "SELECT * FROM versions",
+    "p5_appended": _SQL_HISTORY + "SELECT * FROM versions",
+    "p5_as_of": _SQL_HISTORY
+    + f"""SELECT id AS memory_id, status, superseded_by, valid_until_s FROM (
+      SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_s DESC) AS n FROM changes WHERE at_s <= {AS_OF_S}) WHERE n = 1""",
+    "p5_storage": _SQL_HISTORY
+    + """, periods AS (SELECT *, at_s // 7776000 AS period, lag(at_s // 7776000) OVER w IS DISTINCT FROM at_s // 7776000 AS is_checkpoint,
+      lag(status) OVER w AS s0, lag(superseded_by) OVER w AS b0, lag(valid_until_s) OVER w AS u0 FROM changes WINDOW w AS (PARTITION BY id ORDER BY at_s)),
+    marks AS (SELECT *, is_checkpoint OR status IS DISTINCT FROM s0 AS ps, is_checkpoint OR superseded_by IS DISTINCT FROM b0 AS pb, is_checkpoint OR valid_until_s IS DISTINCT FROM u0 AS pu FROM periods)
+    SELECT id AS memory_id, period, at_s, is_checkpoint, is_change, ps AS patches_status, pb AS patches_superseded_by, pu AS patches_valid_until_s, CASE WHEN ps THEN status END AS status,
+      CASE WHEN pb THEN superseded_by END AS superseded_by, CASE WHEN pu THEN valid_until_s END AS valid_until_s FROM marks WHERE is_checkpoint OR is_change""",
 }
