@@ -89,6 +89,7 @@ def mix(docs: DataFrame, targets: DataFrame, lean: float = LEAN, seed: int = 0)
     goal = goal.withColumn("passes", F.when(F.col("supply") > 0, F.floor(F.col("given") / F.col("supply"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("given") - F.col("passes") * F.col("supply"))
 
+    goal = ws.cut(goal, "goal")
     need = goal.filter("given > 0").select("plan_id", "source", "passes", "rest", "given", "slope")
     key = ["plan_id", "source"]
     hit = placed.join(need, "source").withColumn("small", F.col("n_tokens") <= F.col("rest"))
@@ -97,21 +98,22 @@ def mix(docs: DataFrame, targets: DataFrame, lean: float = LEAN, seed: int = 0)
     levels = hit.filter("small").groupBy(*key, "bucket").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))
     levels = levels.withColumn("below", F.sum("t").over(along) - F.col("t")).filter(F.col("below") + F.col("t") > F.col("rest"))
     edge = levels.groupBy(*key).agg(F.min(F.struct("bucket", "below")).alias("e")).select(*key, F.col("e.bucket").alias("edge"), F.col("e.below").alias("below"))
-    hit = hit.join(edge, key, "left")
+    # these tables have a row per plan and source; each is cut, so that no later step works it out again
+    hit = hit.join(ws.cut(edge, "edge"), key, "left")
     # in that bucket alone documents are counted one by one
     last = hit.filter(F.col("small") & (F.col("bucket") == F.col("edge")))
     last = last.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy(*key).orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
     last = last.filter(F.col("below") + F.col("upto") <= F.col("rest")).groupBy(*key).agg(F.max(F.struct("ord", "doc_id")).alias("upmost"))
-    hit = hit.join(last, key, "left")
+    hit = hit.join(ws.cut(last, "last"), key, "left")
     inside = F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | F.coalesce(F.struct("ord", "doc_id") <= F.col("upmost"), F.lit(False))
     hit = hit.withColumn("fits", F.col("small") & inside)
     filled = hit.groupBy(*key).agg(
         F.coalesce(F.sum(F.when(F.col("fits"), F.col("n_tokens"))), F.lit(0)).alias("filled"), F.max(F.when(F.col("fits"), F.col("before") + F.col("n_tokens"))).alias("cut"),
     )
-    hit = hit.join(filled, key).withColumn("off", F.abs(F.col("n_tokens") - (F.col("rest") - F.col("filled"))))
+    hit = hit.join(ws.cut(filled, "filled"), key).withColumn("off", F.abs(F.col("n_tokens") - (F.col("rest") - F.col("filled"))))
     nearest = hit.filter(~F.col("fits") & (F.col("off") < F.col("rest") - F.col("filled")))
     nearest = nearest.groupBy(*key).agg(F.min_by("doc_id", F.struct("off", "ord", "doc_id")).alias("last_doc"))
-    hit = hit.join(nearest, key, "left")
+    hit = hit.join(ws.cut(nearest, "nearest"), key, "left")
     ends = F.coalesce(F.col("doc_id") == F.col("last_doc"), F.lit(False))
     # the pass's places are drawn together to the tokens that it has
     hit = hit.withColumn("late", F.when(F.col("fits"), F.col("before") * F.col("filled") / F.col("cut")).otherwise(F.col("filled")))
