@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadstone.functions.text import lines
@@ -70,20 +70,32 @@ def enclosing(calls: DataFrame, symbols: DataFrame, by: list[str], key: str, lin
 def mentions(docs: DataFrame, key: str, text: list[str], names: DataFrame, name: str, shortest: int = 3) -> DataFrame:
     """Symbols that documents name: ``<key>, <name>``, where a name stands in a text, whatever the case, also inside of words.
 
-    A name of word characters can only stand inside a run of word characters. So the distinct runs of all texts are cut into
-    their substrings as long as names are, which meet the names in an equi-join; no document meets a name it doesn't hold.
-    Names of other characters, or shorter than ``shortest``, are not looked for. Null texts count as empty.
+    A name's longest run of word characters, for most the name itself, can only stand inside a run of word characters of a text. So
+    the distinct runs of all texts are cut into pieces as long as those of the names are, which meet the names in an equi-join; no
+    document meets a name it doesn't hold. Names with other characters are then looked for in the texts that have their run.
+    Names of fewer than ``shortest`` bytes, and those without any word character, aren't looked for. Null texts count as empty.
     """
-    short = names.select(F.col(name).alias("_name"), F.lower(name).alias("_low")).filter((F.length("_low") >= shortest) & F.col("_low").rlike(r"^\w+$")).distinct()
-    span = short.agg(F.coalesce(F.max(F.length("_low")), F.lit(0)).alias("_most"))  # one row
+    low = F.lower(F.col(name))
+    run = F.try_element_at(F.array_sort(F.split(low, r"\W+"), lambda a, b: F.length(b) - F.length(a)), F.lit(1))
+    short = names.filter(F.octet_length(low) >= shortest).select(F.col(name).alias("_name"), run.alias("_low"), (run != low).alias("_more")).filter(F.length("_low") > 0).distinct()
+    sizes = short.select(F.length("_low").alias("_n")).distinct().agg(F.array_sort(F.collect_set("_n")).alias("_sizes"))  # one row; names' lengths
     whole = F.lower(F.concat_ws(" ", *text))
-    runs = docs.select(key, F.explode(F.array_distinct(F.filter(F.split(whole, r"\W+"), lambda w: F.length(w) >= shortest))).alias("_run"))
-    distinct = runs.select("_run").distinct().join(F.broadcast(span), F.lit(True))
-    at = distinct.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_run") - shortest + 1)))
-    longest = F.least(F.length("_run") - F.col("_i") + 1, F.col("_most"))
-    sub = at.filter(longest >= shortest).withColumn("_low", F.explode(F.transform(F.sequence(F.lit(shortest), longest), lambda n: F.substring(F.col("_run"), F.col("_i"), n))))
-    inside = sub.select("_run", "_low").distinct().join(short, "_low").select("_run", "_name").distinct()
-    return runs.join(inside, "_run").select(key, F.col("_name").alias(name)).distinct()
+    runs = docs.select(key, F.explode(F.array_distinct(F.filter(F.split(whole, r"\W+"), lambda w: F.length(w) > 0))).alias("_run"))
+    distinct = runs.select("_run").distinct().join(F.broadcast(sizes), F.lit(True))
+    at = distinct.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("_run"))))
+    fits = F.filter("_sizes", lambda n: n <= F.length("_run") - F.col("_i") + 1)
+    sub = at.withColumn("_low", F.explode(F.transform(fits, lambda n: F.substring(F.col("_run"), F.col("_i"), n))))
+    inside = sub.select("_run", "_low").join(short, "_low").select("_run", "_name", "_more").distinct()
+    hits = runs.join(inside, "_run").select(key, "_name", "_more").distinct()
+    plain = hits.filter("not _more").select(key, "_name")
+    longer = hits.filter("_more").join(docs.select(key, whole.alias("_text")), key).filter(F.contains("_text", F.lower("_name"))).select(key, "_name")
+    return plain.unionByName(longer).select(key, F.col("_name").alias(name)).distinct()
+
+
+def mention_context(name: str, heading: str, content: str) -> Column:
+    """What shows a mention: the first line of the content that holds the name, whatever the case, else the heading."""
+    rows = F.split(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n")
+    return F.coalesce(F.try_element_at(F.filter(rows, lambda x: F.contains(F.lower(x), F.lower(F.col(name)))), F.lit(1)), F.col(heading))
 
 
 # Lines that declare symbols, by language: kind, form (the name is the first group), deeper kind inside of a type.

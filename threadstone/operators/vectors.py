@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadstone.functions.vectors import cosine
+from threadstone.functions.vectors import cosine, rows_matrix
 from threadstone.session import Workspace
 
 #: Query vectors that one search task scores its rows against.
 QUERY_BLOCK = 1024
+#: Bytes of row vectors, in double precision, that one search task holds.
+PART_BYTES = 64 << 20
 
 
 def top_k(df: DataFrame, key: str, embedding: str, query: Column, k: int, keep: list[str] | None = None) -> DataFrame:
@@ -30,10 +33,12 @@ def top_k_per_group(df: DataFrame, group: str, key: str, embedding: str, query:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows; zero where a vector is null, of another length or with null elements."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    good = np.flatnonzero(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False) == dim)
     m = np.zeros((len(column), dim))
-    for i, v in enumerate(column.to_pylist()):
-        if v and len(v) == dim and None not in v:
-            m[i] = v
+    if len(good):
+        m[good] = np.nan_to_num(rows_matrix(column if len(good) == len(column) else column.take(pa.array(good)), dim))
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
@@ -47,7 +52,8 @@ def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int
     neither found nor have results.
     """
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # parts by size: a part's vectors fit a task whatever the number of rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * dim * 8 // PART_BYTES + 1)
     kind = rows.schema[key].dataType.simpleString()
     good = lambda d: d.filter(F.size(embedding) == dim)
     own = F.col(group).cast("string") if group else F.lit(None).cast("string")

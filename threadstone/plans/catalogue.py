@@ -109,9 +109,26 @@ def count_all(spark, d):
     return out
 
 
-@query("SELECT DISTINCT to_json({'id': id, 'relative_path': relative_path, 'size_bytes': size_bytes}) AS record FROM files")
+_DUMPED = {
+    "files": ["id", "relative_path", "size_bytes"], "symbols": ["row_id", "name", "kind", "start_line"], "call_edges": ["edge_id", "callee_name", "line"], "chunks": ["id", "kind", "start_line"],
+    "doc_sections": ["id", "heading"], "doc_references": ["ref_id", "doc_section_id"], "memory_snapshots": ["row_id", "kind", "title"], "source_texts": ["source_id", "path"],
+    "level_labels": ["doc_id", "rater", "level"], "mix_targets": ["plan_id", "source", "max_repeats"], "project_manifests": ["project_id", "app"], "builtin_names": ["name", "language"],
+}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, record FROM (SELECT DISTINCT to_json({{{', '.join(f'{chr(39)}{c}{chr(39)}: {c}' for c in cs)}}})::VARCHAR AS record FROM {t} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cs)})"
+        for t, cs in _DUMPED.items()
+    )
+)
 def dump_json(spark, d):
-    return table(spark, d, "files").select(F.to_json(F.struct("id", "relative_path", "size_bytes")).alias("record")).distinct()
+    """Twelve tables as JSON records."""
+    out = None
+    for t, cs in _DUMPED.items():
+        one = table(spark, d, t).dropna(subset=cs).select(F.lit(t).alias("table_name"), F.to_json(F.struct(*cs)).alias("record")).distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"SELECT DISTINCT c.id, coalesce(f.relative_path, 'unknown') AS path, coalesce(s.name, '') AS symbol_name FROM chunks c LEFT JOIN {_SQL_FILES} f ON f.id = {_cid('c.file_id')} LEFT JOIN {_SQL_SYMBOLS} s ON s.id = {_cid('c.symbol_id')}")
@@ -123,12 +140,17 @@ def lookup_join(spark, d):
     return out.select("id", F.coalesce("relative_path", F.lit("unknown")).alias("path"), F.coalesce("name", F.lit("")).alias("symbol_name")).distinct()
 
 
-@query(
-    "SELECT CASE regexp_extract(lower(relative_path), '\\.([^.]+)$', 1) WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'c' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'go' THEN 'go' ELSE 'unknown' END AS detected, "
-    "count(*) AS n_files FROM (SELECT DISTINCT id, relative_path FROM files) GROUP BY 1"
-)
+_ENDINGS = [*(e for ends in T.LANGUAGE_ENDINGS.values() for e in ends.split() if e.isascii()), "zzz"]
+_SQL_ENDED = f"(SELECT DISTINCT relative_path || '.' || list_extract({_ENDINGS}, (length(relative_path) * 7 + ascii(right(id, 1))) % {len(_ENDINGS)} + 1) AS path FROM files)"
+_SQL_LANGUAGE = "CASE WHEN path LIKE '%.gradle' THEN 'gradle' " + " ".join(f"WHEN regexp_extract(path, '\\.([^.]+)$', 1) IN ({', '.join(repr(x) for x in ends.split())}) THEN '{lang}'" for lang, ends in T.LANGUAGE_ENDINGS.items()) + " ELSE 'unknown' END"
+
+
+@query(f"SELECT detected, count(*) AS n_files FROM (SELECT {_SQL_LANGUAGE} AS detected FROM {_SQL_ENDED}) GROUP BY 1")
 def languages(spark, d):
-    return table(spark, d, "files").select("id", "relative_path").distinct().groupBy(T.language("relative_path").alias("detected")).agg(F.count(F.lit(1)).alias("n_files"))
+    """Languages by ending; the tables' files have six of them, so each path is given one of all by its length and id."""
+    at = (F.length("relative_path") * 7 + F.ascii(F.right("id", F.lit(1)))) % len(_ENDINGS) + 1
+    path = F.concat("relative_path", F.lit("."), F.element_at(F.array(*[F.lit(x) for x in _ENDINGS]), at.cast("int")))
+    return table(spark, d, "files").select(path.alias("path")).distinct().groupBy(T.language("path").alias("detected")).agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query(f"SELECT sha256(text) AS content, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -828,11 +850,13 @@ def slice_lines(spark, d):
 
 
 @query(
-    f"SELECT DISTINCT d.id AS section_id, s.name FROM (SELECT DISTINCT id, lower(coalesce(heading || ' ', '') || coalesce(content, '')) AS t FROM doc_sections) d JOIN (SELECT DISTINCT name FROM symbols WHERE length(name) >= 3 AND regexp_matches(name, '^\\w+$')) s ON contains(d.t, lower(s.name))"
+    f"SELECT DISTINCT d.id AS section_id, s.name, coalesce(list_filter(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)), lambda l: contains(lower(l), lower(s.name)))[1], heading) AS context "
+    f"FROM (SELECT DISTINCT id, heading, content, lower(coalesce(heading || ' ', '') || coalesce(content, '')) AS t FROM doc_sections) d JOIN (SELECT DISTINCT name FROM symbols WHERE strlen(name) >= 3) s ON contains(d.t, lower(s.name))"
 )
 def doc_link(spark, d):
     docs = table(spark, d, "doc_sections").select(F.col("id").alias("section_id"), "heading", "content").distinct()
-    return textual.mentions(docs, "section_id", ["heading", "content"], table(spark, d, "symbols").select("name"), "name")
+    found = textual.mentions(docs, "section_id", ["heading", "content"], table(spark, d, "symbols").select("name"), "name")
+    return found.join(docs, "section_id").select("section_id", "name", textual.mention_context("name", "heading", "content").alias("context")).distinct()
 
 
 def _sources(spark, d):
@@ -943,14 +967,14 @@ def import_extract(spark, d):
 
 @query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    out = ST.run_to_table(ST.windowed_counts(ST.read_events(spark, d), "event_type"), "windows", "complete")
+    out = ST.run_to_table(ST.windowed_counts(ST.read_events(spark, d), "event_type"), "windows", "update", ["window_start", "event_type"])
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
-@query("SELECT DISTINCT user_id, event_type, props FROM events")
+@query("SELECT DISTINCT date_trunc('day', ts) AS window_start, user_id, event_type, props FROM events")
 def stream_dedup(spark, d):
-    e = ST.read_events(spark, d).select("user_id", "event_type", "props")
-    return ST.run_to_table(e.dropDuplicates(["user_id", "event_type", "props"]), "dedup")
+    out = ST.run_to_table(ST.distinct_within(ST.read_events(spark, d), ["user_id", "event_type", "props"]), "dedup")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query(SQL["read_guard"].replace("SELECT event_id, suppressed, is_first, row_number()", "SELECT event_id, suppressed, row_number()", 1))

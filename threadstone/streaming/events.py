@@ -40,9 +40,9 @@ def apply_changes(stream: DataFrame, path: str, at, apply: Callable[[DataFrame,
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", ws.path("checkpoint")).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there now into a table in the shared folder and reads it. A batch that is written again
-    after a failure replaces what it had written; complete results replace each other."""
+    after a failure replaces what it had written; complete results replace each other; of updates the last of each key counts."""
     spark = stream.sparkSession
     ws = Workspace(spark, label)
 
@@ -51,15 +51,25 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", ws.path("checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(ws.path("out")).select(*stream.columns)
+    out = spark.read.parquet(ws.path("out"))
+    if mode == "update":
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("x")).select("x.*")
+    return out.select(*stream.columns)
 
 
 def windowed_counts(events: DataFrame, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Rows and their summed value per key and tumbling window."""
-    by = events.withWatermark("ts", late).groupBy(F.window("ts", width), key)
+    by = events.withWatermark("ts", late).groupBy(F.window("ts", width), key)  # in update mode state goes when the watermark passes
     return by.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("window_start"), key, "n", "value")
 
 
+def distinct_within(events: DataFrame, keys: list[str], width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """The distinct values of the keys in each tumbling window: ``window_start, <keys>``. State is kept until the watermark passes the
+    window's end, so it doesn't grow with the stream."""
+    timed = events.withWatermark("ts", late).select(F.window("ts", width).alias("window"), *keys)
+    return timed.dropDuplicates(["window", *keys]).select(F.col("window.start").alias("window_start"), *keys)
+
+
 def sessions(events: DataFrame, key: str, gap: str = "2 hours", late: str = "1 hour") -> DataFrame:
     """Rows per key and session: a session ends when a gap passes without rows."""
     by = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key)
