@@ -43,25 +43,8 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, dim: int, group: str | None = None) -> DataFrame:
-    """The k nearest rows of every query by exact cosine: ``query_id, rank, <key>, score``; a query may find itself. With a
-    ``group`` column of the rows, those of every query and group: ``query_id, <group>, rank, <key>, score``.
-
-    Queries come in blocks, rows in parts; every block meets every part once, in a task of its own, as one matrix product that
-    keeps k rows per query; then the lists of a query are merged. Ties go to the smaller key. Vectors that are null or of another length are
-    neither found nor have results.
-    """
-    spark = rows.sparkSession
-    # parts by size: a part's vectors fit a task whatever the number of rows
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * dim * 8 // PART_BYTES + 1)
-    kind = rows.schema[key].dataType.simpleString()
-    good = lambda d: d.filter(F.size(embedding) == dim)
-    own = F.col(group).cast("string") if group else F.lit(None).cast("string")
-    r = good(rows).select(F.col(key).alias("id"), own.alias("g"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
-    q = good(queries).select(F.col(key).alias("id"), F.col(embedding).alias("v"))
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def _scorer(dim: int, k: int):
+    """Scores the queries of a group against its rows as matrix products, and keeps k rows per query and group."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = np.array(left.column("id").to_pylist())
@@ -91,12 +74,98 @@ def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int
         kinds = {"query_id": left.schema.field("id").type, "g": pa.string(), "id": left.schema.field("id").type, "score": pa.float64()}
         return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
-    near = r.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInArrow(score, f"query_id {kind}, g string, id {kind}, score double")
+    return score
+
+
+def search(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, dim: int, group: str | None = None) -> DataFrame:
+    """The k nearest rows of every query by exact cosine: ``query_id, rank, <key>, score``; a query may find itself. With a
+    ``group`` column of the rows, those of every query and group: ``query_id, <group>, rank, <key>, score``.
+
+    Queries come in blocks, rows in parts; every block meets every part once, in a task of its own, as one matrix product that
+    keeps k rows per query; then the lists of a query are merged. Ties go to the smaller key. Vectors that are null or of another length are
+    neither found nor have results.
+    """
+    spark = rows.sparkSession
+    # parts by size: a part's vectors fit a task whatever the number of rows
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() * dim * 8 // PART_BYTES + 1)
+    kind = rows.schema[key].dataType.simpleString()
+    good = lambda d: d.filter(F.size(embedding) == dim)
+    own = F.col(group).cast("string") if group else F.lit(None).cast("string")
+    r = good(rows).select(F.col(key).alias("id"), own.alias("g"), F.col(embedding).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+    q = good(queries).select(F.col(key).alias("id"), F.col(embedding).alias("v"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = r.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    near = r.groupBy("part", "block").cogroup(q.groupBy("part", "block")).applyInArrow(_scorer(dim, k), f"query_id {kind}, g string, id {kind}, score double")
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *(["g"] if group else [])).orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
     shown = [F.col("g").cast(rows.schema[group].dataType).alias(group)] if group else []
     return best.select("query_id", *shown, "rank", F.col("id").alias(key), "score")
 
 
+#: Rows of the sample that cells are fitted on, turns of the fit, rows of it that are asked for to see how many cells a query needs,
+#: and the part of their nearest rows that those cells have to hold.
+CELL_SAMPLE, CELL_TURNS, CELL_QUERIES, CELL_TARGET = 20_000, 12, 256, 0.96
+
+
+def fit_cells(rows: DataFrame, key: str, embedding: str, dim: int, cells: int, k: int = 10, sample: int = CELL_SAMPLE, target: float = CELL_TARGET) -> tuple[np.ndarray, int]:
+    """Unit centres of cells of directions, and how many of them a query has to be scored in: from at most ``sample`` rows, those with
+    the smallest hashes of their keys. What reaches the driver is bounded by that number. The number of cells is the smallest in
+    which the sample's own queries find the part ``target`` of their k nearest rows."""
+    some = rows.filter(F.size(embedding) == dim).select(key, embedding).orderBy(F.xxhash64(key), key).limit(sample).toArrow()
+    x = _matrix(some.column(embedding), dim)
+    if not len(x):
+        return np.zeros((1, dim)), 1
+    centre = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
+    for _ in range(CELL_TURNS):
+        own = (x @ centre.T).argmax(1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centre = np.divide(sums, size, out=centre.copy(), where=size > 0)
+    own, asked = (x @ centre.T).argmax(1), x[:CELL_QUERIES]
+    near = np.argsort(-(asked @ x.T), axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(place, own[near], axis=1).ravel() + 1
+    return centre, int(np.ceil(np.quantile(needed, target)))
+
+
+def _cells_of(centre: np.ndarray, dim: int, n: int):
+    """A function of a vector that gives its n nearest cells."""
+
+    @F.arrow_udf("array<int>")
+    def run(v: pa.Array) -> pa.Array:
+        near = np.argsort(-(_matrix(v, dim) @ centre.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+
+    return run
+
+
+def search_near(rows: DataFrame, queries: DataFrame, key: str, embedding: str, k: int, dim: int, cells: int | None = None, target: float = CELL_TARGET) -> DataFrame:
+    """As `search`, but each query meets only the rows of the cells nearest to it: ``query_id, rank, <key>, score``. Every row is in
+    its nearest cell; scores are exact, lists may miss rows of cells that weren't probed (`recall_of` measures it). Cells are about
+    the square root of the rows in number, and fitted on a bounded sample. A cell with very many rows is split into parts; the
+    queries of a cell go to all of its parts."""
+    kind = rows.schema[key].dataType.simpleString()
+    n = rows.count()
+    centre, probed = fit_cells(rows, key, embedding, dim, cells or max(1, int(n**0.5)), k, target=target)
+    good = lambda d: d.filter(F.size(embedding) == dim).select(F.col(key).alias("id"), F.lit(None).cast("string").alias("g"), F.col(embedding).alias("v"))
+    r = good(rows).withColumn("cell", _cells_of(centre, dim, 1)("v")[0])
+    load = r.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * dim * 8 / PART_BYTES).cast("int").alias("tasks"))  # a row per cell
+    r = r.join(F.broadcast(load), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
+    q = good(queries).withColumn("cell", F.explode(_cells_of(centre, dim, probed)("v")))
+    q = q.join(F.broadcast(load), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    near = r.groupBy("cell", "part").cogroup(q.groupBy("cell", "part")).applyInArrow(_scorer(dim, k), f"query_id {kind}, g string, id {kind}, score double")
+    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.col("id").alias(key), "score")
+
+
+def recall_of(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """One row ``n_exact, n_found, recall``: what part of the exact lists an approximate search has found."""
+    hit = exact.select("query_id", key).join(found.select("query_id", key, F.lit(1).alias("hit")), ["query_id", key], "left")
+    return hit.agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
 def mmr(candidates: DataFrame, group: str, key: str, embedding: str, query: str, limit: int, lam: float = 0.65) -> DataFrame:
     """Maximal marginal relevance per query: ``<group>, mmr_rank, <key>, score``; the score is the similarity to the query.
 

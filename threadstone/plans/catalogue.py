@@ -189,9 +189,9 @@ _SQL_FILE_TOKENS = f"(SELECT f.relative_path, sum({_TOKENS.format('c.text')})::B
 
 
 def _file_tokens(spark, d):
-    c = table(spark, d, "chunks").select("id", I.canonical_id("file_id").alias("fid"), "text").distinct()
+    c = table(spark, d, "chunks").select("id", I.canonical_id("file_id").alias("fid"), F.sha2("text", 256).alias("h"), K.estimate_tokens("text").alias("tokens")).distinct()  # texts don't move
     f = _files(spark, d).select(F.col("id").alias("fid"), "relative_path")
-    return c.join(f, "fid").groupBy("relative_path").agg(F.sum(K.estimate_tokens("text")).alias("tokens"))
+    return c.join(f, "fid").groupBy("relative_path").agg(F.sum("tokens").alias("tokens"))
 
 
 @query(
@@ -279,11 +279,40 @@ def vec_search(spark, d):
     return _found(spark, d, 10).select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+def _sql_mmr(limit: int) -> str:
+    """Diversity reranking of the fifty nearest rows, step by step."""
+    cos = "list_cosine_similarity(c.embedding::DOUBLE[], e.embedding::DOUBLE[])"
+    steps = [
+        f"c AS (SELECT x.*, e.embedding FROM {_SQL_SEARCH} x JOIN embeddings e ON e.vec_id = x.vec_id WHERE rank <= 50)",
+        "p1 AS (SELECT query_id, vec_id, s, 1 AS mmr_rank FROM c WHERE rank = 1)",
+    ]
+    for i in range(2, limit + 1):
+        steps.append(
+            f"p{i} AS (SELECT query_id, vec_id, s, mmr_rank FROM p{i - 1} UNION ALL SELECT query_id, vec_id, s, {i} FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, vec_id) AS n FROM ("
+            f"SELECT c.query_id, c.vec_id, c.s, c.rank, 0.65 * c.s - 0.35 * greatest(0, max({cos})) AS v FROM c JOIN p{i - 1} t ON t.query_id = c.query_id JOIN embeddings e ON e.vec_id = t.vec_id "
+            f"WHERE NOT EXISTS (SELECT 1 FROM p{i - 1} u WHERE u.query_id = c.query_id AND u.vec_id = c.vec_id) GROUP BY c.query_id, c.vec_id, c.s, c.rank)) WHERE n = 1)"
+        )
+    return f"WITH {', '.join(steps)} SELECT query_id, mmr_rank, vec_id, round(s, 6) AS score FROM p{limit}"
+
+
+@query(_sql_mmr(5))
 def vec_mmr(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     near = _found(spark, d, 50).join(e, "vec_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    return VO.mmr(near, "query_id", "vec_id", "embedding", "q", 5)
+    return VO.mmr(near, "query_id", "vec_id", "embedding", "q", 5).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vec_search_near(spark, d):
+    """The approximate search of all queries, against all rows."""
+    rows = table(spark, d, "embeddings")
+    return VO.search_near(rows, rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10, 64)
+
+
+@query()
+def vec_recall(spark, d):
+    """What part of the exact lists the approximate search finds."""
+    return VO.recall_of(vec_search_near(spark, d), _found(spark, d, 10), "vec_id")
 
 
 @query()
