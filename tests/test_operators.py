@@ -286,3 +286,26 @@ def test_texts_of_notes(spark):
 def test_watched_paths(spark):
     got = [r[0] for r in texts(spark, "src/a.rs", "target/a.rs", ".git/x.py", "x.unknown", "logo.png", ".index/memories/fact.md", None).orderBy("i").select(T.is_watched("t")).collect()]
     assert got == [True, False, False, False, True, True, False]
+
+
+def test_approximate_search_reaches_its_recall_and_splits_hot_cells(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    x = np.r_[rnd.normal(size=(300, 8)), rnd.normal(size=8) + 0.05 * rnd.normal(size=(200, 8))]  # a cell holds two fifths of all rows
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0])], "id long, v array<float>")
+    monkeypatch.setattr(VO, "PART_BYTES", 4000)
+    asked = rows.filter("id % 50 = 0")
+    found, exact = VO.search_near(rows, asked, "id", "v", 10, 8, cells=12), VO.search(rows, asked, "id", "v", 10, 8)
+    got = VO.recall_of(found, exact, "id").first()
+    assert got.n_exact == 100 and got.recall >= 0.9
+    scores = {(r.query_id, r.id): r.score for r in exact.collect()}
+    assert all(abs(scores[r.query_id, r.id] - r.score) < 1e-9 for r in found.collect() if (r.query_id, r.id) in scores)
+    assert VO.search_near(rows.limit(0), asked.limit(0), "id", "v", 10, 8).count() == 0
+
+
+def test_cosine_of_ragged_and_null_vectors(spark):
+    from threadstone.functions.vectors import cosine
+
+    rows = [(1, [1.0, 0.0], [1.0, 1.0]), (2, None, [1.0]), (3, [], []), (4, [1.0], [1.0, 2.0]), (5, [0.0, 0.0], [1.0, 1.0]), (6, [1.0, None], [1.0, 1.0]), (7, [3.0], [-2.0])]
+    df = spark.createDataFrame(rows, "id int, a array<float>, b array<double>")
+    got = {r.id: round(r.c, 6) for r in df.select("id", cosine("a", "b").alias("c")).collect()}
+    assert got == {1: 0.707107, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: -1.0}

@@ -128,3 +128,15 @@ def test_streams(spark, tmp_path):
     assert got == {(0, 4), (2, 4)}
     out = ST.run_to_table(ST.guarded(ST.read_events(spark, str(tmp_path)).select("event_id", "ts", "user_id", F.col("props").alias("content")), ["user_id"]), "g").collect()
     assert {r.event_id: r.suppressed for r in out} == {i: False for i in range(8)}, "contents alternate for each user"
+
+
+def test_ignore_rules(spark):
+    from threadstone.sources.files import ignore_rules, not_ignored
+
+    rules = ignore_rules("# note\n\n*.lock\n!keep.lock\n/build/\ndocs/**/draft?.md\nvendor/\na[1].txt\n")
+    want = {
+        "x.lock": False, "a/b/x.lock": False, "a/keep.lock": True, "build/x.c": False, "a/build/x.c": True, "docs/draft1.md": False, "docs/a/b/draft2.md": False,
+        "docs/draft10.md": True, "a/vendor/x.go": False, "vendor.go": True, "src/main.rs": True, "a1.txt": False, "a[1].txt": True, "docs/draft1.md/x": False,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "p string")
+    assert {r.p: r.k for r in df.select("p", not_ignored(F.col("p"), rules).alias("k")).collect()} == want

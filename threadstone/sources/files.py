@@ -62,9 +62,13 @@ def write_tree(df: DataFrame, root: str, path: str, content: str) -> None:
 IGNORE_FILES = [".gitignore", ".indexignore"]
 
 
+_WILD = re.compile(r"/\*\*/|^\*\*/|/\*\*$|\*\*|\*|\?|\[[^\]]+\]|[^\w/]")
+_FORMS = {"/**/": "/(?:.*/)?", "**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+
 def ignore_rules(text: str) -> list[tuple[str, bool]]:
     """Patterns of an ignore file as (regular expression on relative paths, whether it takes back), in order: comments, ``!``,
-    anchors, folders, ``*``, ``?`` and ``**``."""
+    anchors, folders, ``*``, ``?``, ``**`` and classes of characters."""
     out = []
     for line in text.splitlines():
         p = line.rstrip()
@@ -73,7 +77,7 @@ def ignore_rules(text: str) -> list[tuple[str, bool]]:
         back, p = p.startswith("!"), p.removeprefix("!")
         folder, p = p.endswith("/"), p.rstrip("/")
         anchored, p = "/" in p, p.removeprefix("/")
-        body = re.sub(r"\*\*/|/\*\*|\*\*|\*|\?|[^\w/]", lambda m: {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(m[0], "\\" + m[0]), p)
+        body = _WILD.sub(lambda m: _FORMS.get(m[0]) or (f"[^{m[0][2:]}" if m[0].startswith("[!") else m[0] if m[0].startswith("[") else "\\" + m[0]), p)
         out.append((("^" if anchored else "^(?:.*/)?") + body + ("/.*$" if folder else "(?:/.*)?$"), back))
     return out
 
