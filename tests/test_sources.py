@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,10 +128,33 @@ def test_streams(spark, tmp_path):
     e = ST.read_events(spark, str(tmp_path))
     got = {(r.window_start.hour, r.n) for r in ST.run_to_table(ST.windowed_counts(e, "event_type", "2 hours"), "w", "complete").collect()}
     assert got == {(0, 4), (2, 4)}
-    out = ST.run_to_table(ST.guarded(ST.read_events(spark, str(tmp_path)).select("event_id", "ts", "user_id", F.col("props").alias("content")), ["user_id"]), "g").collect()
+    out = ST.guard_to_table(ST.read_events(spark, str(tmp_path)).select("event_id", "ts", "user_id", F.col("props").alias("content")), ["user_id"]).collect()
     assert {r.event_id: r.suppressed for r in out} == {i: False for i in range(8)}, "contents alternate for each user"
 
 
+def test_guard_over_several_batches(spark, tmp_path):
+    """State crosses batches: runs go on, sessions that pause keep theirs, and late reads count as later."""
+    rnd = random.Random(6)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=rnd.randint(0, 40) if i % 9 == 0 else i), rnd.choice([1, 1, 1, 2, 3]), rnd.choice(["a", "a", "b", None])) for i in range(90)]
+    schema = "event_id long, ts timestamp, user_id long, content string"
+    for no in range(3):
+        part = spark.createDataFrame(rows[no * 30 : no * 30 + 30], schema).coalesce(1)
+        part.write.parquet(str(tmp_path / f"b{no}"))
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r.event_id: (r.suppressed, r["count"]) for r in ST.guard_to_table(stream, ["user_id"]).collect()}
+    last, want = {}, {}
+    for no in range(3):
+        for event, ts, user, content in sorted(rows[no * 30 : no * 30 + 30], key=lambda r: (r[1], r[0])):
+            seen = last.get(user)
+            same = seen is not None and seen[0] == content
+            n = seen[1] + 1 if same else 1
+            last[user], want[event] = (content, n), (same, n)
+    assert got == want
+
+
 def test_ignore_rules(spark):
     from threadstone.sources.files import ignore_rules, not_ignored
 

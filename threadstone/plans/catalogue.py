@@ -1009,4 +1009,4 @@ def stream_dedup(spark, d):
 @query(SQL["read_guard"].replace("SELECT event_id, suppressed, is_first, row_number()", "SELECT event_id, suppressed, row_number()", 1))
 def stream_guard(spark, d):
     e = ST.read_events(spark, d).select("event_id", "ts", "user_id", "event_type", F.col("props").alias("content"))
-    return ST.run_to_table(ST.guarded(e, ["user_id", "event_type"]), "guard")
+    return ST.guard_to_table(e, ["user_id", "event_type"])

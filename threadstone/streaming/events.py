@@ -1,16 +1,13 @@
-"""Structured Streaming: change events of files, windows over events, and the stateful read guard."""
+"""Structured Streaming: change events of files, windows over events, and the read guard."""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from threadstone.operators.hygiene import read_guard
 from threadstone.session import Workspace
 
 
@@ -76,34 +73,44 @@ def sessions(events: DataFrame, key: str, gap: str = "2 hours", late: str = "1 h
     return by.agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("session_start"), key, "n")
 
 
-class ReadGuard(StatefulProcessor):
-    """Remembers the last content of each session and path; a repeated one is suppressed."""
+def guard_to_table(events: DataFrame, session: list[str], label: str = "guard") -> DataFrame:
+    """Runs a stream of reads (``event_id, ts, <session>, content``) through the read guard: ``event_id, suppressed, count``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "content string, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        last, n = self.last.get() if self.last.exists() else (None, 0)
-        out = []
-        for event, content in zip(seen["event_id"], seen["content"]):
-            same = n > 0 and content == last
-            n = n + 1 if same else 1
-            last = content
-            out.append((int(event), bool(same), n))
-        self.last.update((last, n))
-        yield pd.DataFrame(out, columns=["event_id", "suppressed", "count"])
-
-    def close(self) -> None:
-        pass
-
-
-def guarded(events: DataFrame, session: list[str]) -> DataFrame:
-    """Reads with their guard's decision, with state per session and path: ``event_id, suppressed, count``."""
+    Of each session and path one row crosses from batch to batch: the last content, and how often in a row it was read. Inside a
+    batch rows are ordered by stretches of time (`operators.ordered`), so a hot path is no single task's. Reads that come in a
+    later batch count as later than all of an earlier one, whatever their time. A batch that is run again starts from the state
+    that the one before it left, and replaces what it had written.
+    """
     spark = events.sparkSession
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the stream's own Python worker gets no shipped files
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.groupBy(*session).transformWithStateInPandas(ReadGuard(), "event_id long, suppressed boolean, count long", "append", "none")
+    ws = Workspace(spark, label)
+    columns = ["event_id", "ts", *session, "content"]
+    key = [F.col(c) for c in session]
+
+    def batch(df: DataFrame, no: int) -> None:
+        rows = df.select(*columns, F.lit(0).cast("long").alias("n"))
+        old = spark.read.parquet(ws.path(f"state/{no - 1}")) if no else None
+        if old is not None:  # the row before the first: it has no time, which puts it first
+            known = old.join(rows.select(*session).distinct(), session, "left_semi")
+            rows = rows.unionByName(known.withColumn("ts", F.lit(None).cast("timestamp")).withColumn("event_id", F.lit(None).cast("long")))
+        done = read_guard(rows, session, "content", "ts", "event_id")
+        if old is None:
+            done = done.withColumn("total", F.col("count"))
+        else:
+            # reads before the first shown one go on with the run of the batches before: a row per session
+            place = F.struct("ts", "event_id")
+            first = done.filter("event_id IS NOT NULL AND NOT suppressed").groupBy(*session).agg(F.min(place).alias("shown"))
+            done = done.join(first, session, "left").join(old.select(*session, F.col("n").alias("had")), session, "left")
+            goes_on = F.col("had").isNotNull() & (F.col("shown").isNull() | (place < F.col("shown")))
+            done = done.withColumn("total", F.col("count") + F.when(goes_on, F.col("had") - 1).otherwise(0)).filter("event_id IS NOT NULL")
+        done = ws.cut(done.select(*columns, "suppressed", F.col("total").cast("long").alias("count")), f"decided/{no}")
+        done.select("event_id", "suppressed", "count").write.mode("overwrite").parquet(ws.path(f"out/batch={no}"))
+        last = done.groupBy(*key).agg(F.max_by(F.struct("content", F.col("count").alias("n")), F.struct("ts", "event_id")).alias("x")).select(*session, "x.*")
+        if old is not None:
+            last = last.unionByName(old.join(last.select(*session), session, "left_anti"))
+        last.write.mode("overwrite").parquet(ws.path(f"state/{no}"))
+
+    events.writeStream.foreachBatch(batch).option("checkpointLocation", ws.path("checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, suppressed boolean, count long").parquet(ws.path("out")).select("event_id", "suppressed", "count")
 
 
 def watch(stream: DataFrame, path: str, content: str, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "300 milliseconds"):
