@@ -115,6 +115,25 @@ def test_leader_clusters(spark, block):
     assert {r.id: r.leader for r in VO.leader_clusters(df, "id", "v", 5, 0.85, block).collect()} == lead
 
 
+def test_leader_clusters_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 3)) * [1, 1, 0.2]
+    m[50:180] = m[7]  # copies hold a third
+    n = m / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(f"{i:04d}", m[i].tolist(), "x") for i in range(400)]
+    odd = [("0100b", None, "x"), ("0100c", [0.0, 0.0, 0.0], "x"), ("0100d", [1.0], "x"), ("0100e", [1.0, None, 0.0], "x"), ("0100f", [float("nan"), 1.0, 0.0], "x"), (None, [1.0, 0.0, 0.0], "x")]
+    df = spark.createDataFrame(rows + odd + rows[:9], "cell string, v array<double>, leader string")
+    for threshold in (0.9, 0.999):
+        want = {k: k for k, *_ in odd}
+        for i in range(400):
+            if f"{i:04d}" not in want:
+                want |= {f"{j:04d}": f"{i:04d}" for j in range(i, 400) if f"{j:04d}" not in want and (j == i or n[i] @ n[j] >= threshold)}
+        got = VO.leader_clusters(df, "cell", "v", 3, threshold, 20).collect()
+        assert len(got) == len(want) and {r.cell: r.leader for r in got} == want
+    assert all(r.cell == r.leader for r in VO.leader_clusters(df, "cell", "v", 3, 1.5).collect())
+    assert VO.leader_clusters(df.limit(0), "cell", "v", 3, 0.9).collect() == []
+
+
 def test_top_k_then_threshold(spark):
     df = spark.createDataFrame([("a", i, [1.0, i / 4]) for i in range(8)] + [("b", 9, [0.0, 1.0]), ("b", 10, None)], "g string, id long, v array<double>")
     q = V.vector([1.0, 0.0])

@@ -196,31 +196,123 @@ def mmr(candidates: DataFrame, group: str, key: str, embedding: str, query: str,
     return picked.toDF(group, "mmr_rank", key, "score")
 
 
-def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold: float, block: int = 5_000) -> DataFrame:
-    """Leader clustering in the order of keys: ``<key>, leader``. A row without a leader yet becomes one and takes every later
-    row without a leader whose cosine reaches the threshold. Rows without a usable vector lead themselves.
+#: Cells by which leader clustering rules out pairs, at most, and the least rows of a part of them.
+LINK_CELLS, LINK_ROWS = 2048, 1024
+
+
+def _packed(load: list, rows: int) -> dict[int, tuple[int, int]]:
+    """Parts of cells: ``cell -> (first part, parts)``. Cells share a part of at most ``rows`` rows; a larger cell has several of its own."""
+    parts, at, room = {}, -1, 0
+    for c in sorted(load, key=lambda c: c.cell):
+        if c.n > rows:
+            tasks = -(-c.n // rows)
+            parts[c.cell], at, room = (at + 1, tasks), at + tasks, 0
+        else:
+            if c.n > room:
+                at, room = at + 1, rows
+            parts[c.cell], room = (at, 1), room - c.n
+    return parts
+
+
+def _links(left: DataFrame, right: DataFrame, dim: int, threshold: float, only_first: bool) -> DataFrame:
+    """``id, prev``: for the vectors of the left those of the right with a smaller id whose cosine reaches the threshold, each or the first
+    alone. Both sides (``id, v``, ids unique, vectors usable) are put into cells of directions and these into parts; two parts meet in
+    a task only if the distance of two of their cells' centres less the cells' radii leaves room for such a pair, so none is lost."""
+    spark = left.sparkSession
+    kind = left.schema["id"].dataType.simpleString()
+    centre, _ = fit_cells(right, "id", "v", dim, max(1, min(LINK_CELLS, int(right.count() ** 0.5))))
+
+    @F.arrow_udf("double")
+    def away(v: pa.Array) -> pa.Array:
+        return pa.array(np.arccos(np.clip((_matrix(v, dim) @ centre.T).max(axis=1), -1, 1)))
+
+    side, radius, parts = {}, {}, {}
+    tasks = max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    for name, d in (("left", left), ("right", right)):
+        placed = d.withColumn("cell", _cells_of(centre, dim, 1)("v")[0])
+        load = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(away("v")).alias("r")).collect()  # a row per cell
+        parts[name] = _packed(load, max(LINK_ROWS, min(PART_BYTES // (dim * 8), sum(c.n for c in load) // tasks)))
+        radius[name] = {c.cell: c.r for c in load}
+        where = spark.createDataFrame([(c, p, n) for c, (p, n) in parts[name].items()], "cell int, first int, tasks int")
+        part = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("tasks"))).cast("int")
+        side[name] = placed.join(F.broadcast(where), "cell").select("id", "v", part.alias(name))
+    a, b = list(radius["left"]), list(radius["right"])
+    angle = np.arccos(np.clip(centre[a] @ centre[b].T, -1, 1))
+    reach = np.array(list(radius["left"].values()))[:, None] + np.array(list(radius["right"].values())) + np.arccos(min(1.0, max(-1.0, threshold))) + 1e-6
+    spread = lambda at: range(at[0], at[0] + at[1])
+    meet = {(x, y) for i, j in np.argwhere(angle <= reach) for x in spread(parts["left"][a[i]]) for y in spread(parts["right"][b[j]])}
+    pairs = spark.createDataFrame(sorted(meet), "left int, right int")
+
+    def near(one: pa.Table, other: pa.Table) -> pa.Table:
+        ids, prev = [], []
+        if one.num_rows and other.num_rows:
+            other = other.sort_by("before")
+            own, before, base = one.column("id").to_pylist(), other.column("before").to_pylist(), _matrix(other.column("base"), dim)
+            for at in range(0, one.num_rows, QUERY_BLOCK):
+                reached = _matrix(one.column("v").slice(at, QUERY_BLOCK), dim) @ base.T >= threshold
+                for i in np.flatnonzero(reached.any(axis=1)):
+                    for j in np.flatnonzero(reached[i]):
+                        if before[j] >= own[at + i]:
+                            break
+                        ids.append(own[at + i])
+                        prev.append(before[j])
+                        if only_first:
+                            break
+        field = one.schema.field("id").type
+        return pa.table({"id": pa.array(ids, field), "prev": pa.array(prev, field)})
+
+    one = side["left"].join(pairs, "left").select("left", "right", "id", "v")
+    other = side["right"].join(pairs, "right").select("left", "right", "id", "v").toDF("to_left", "to_right", "before", "base")
+    met = one.groupBy("left", "right").cogroup(other.groupBy("to_left", "to_right"))
+    return met.applyInArrow(near, f"id {kind}, prev {kind}")
+
+
+def _settled(ws: Workspace, name: str, rest: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, leader`` of rows that no row outside leads: a row is led once a smaller one linked to it leads, and leads once all of those are
+    led, so every round settles at least the smallest row left; all rows decide at once."""
+    settled = ws.cut(rest.select("id").join(links.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("leads")), f"{name}-0")
+    open_, turn = links, 0
+    while True:
+        turn += 1
+        known = open_.join(settled.withColumnRenamed("id", "prev"), "prev", "left")
+        state = known.groupBy("id").agg(F.coalesce(F.max("leads"), F.lit(False)).alias("led"), (F.count("leads") == F.count(F.lit(1))).alias("all"))
+        new = ws.cut(state.filter("led or all").select("id", (~F.col("led")).alias("leads")), f"{name}-{turn}")
+        if new.isEmpty():
+            break
+        settled = settled.unionByName(new)
+        open_ = ws.cut(open_.join(new, "id", "left_anti"), f"{name}-open{turn}")
+        if turn % 8 == 0:
+            settled = ws.cut(settled, f"{name}-all{turn}")
+    first = links.join(settled.filter("leads").select(F.col("id").alias("prev")), "prev").groupBy("id").agg(F.min("prev").alias("leader"))
+    return settled.filter("leads").select("id", F.col("id").alias("leader")).unionByName(settled.filter("not leads").join(first, "id").select("id", "leader"))
+
 
-    Rows are taken in blocks of their order: a block's rows first look for the earliest leader of the blocks before, all at
-    once in parallel; only those that find none are clustered among themselves, at most ``block`` rows in one task.
+def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold: float, block: int = 5_000) -> DataFrame:
+    """Leader clustering in the order of keys: ``<key>, leader``, one row per key. A row without a leader yet becomes one and takes every
+    later row without a leader whose cosine reaches the threshold. Rows of one key count once, with their smallest usable vector;
+    rows without one (null, of another length, all zeros, with elements null or not finite) lead themselves, a null key has a
+    null leader. A threshold above 1 takes nothing, at 1 or below equal vectors always reach it.
+
+    Copies of a vector follow its first row. Different vectors are taken in stretches of their order that double in size: the rows
+    of a stretch look for the first leader of those before, all at once; what finds none, a small rest as a rule, is linked among
+    itself (`_links`) and settled in rounds (`_settled`). The first stretch, ``block`` rows, is clustered in one task. What reaches the
+    driver is bounded: cells' sizes and a sample of keys. Runs jobs while the frame is being made.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "leaders")
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("id"), F.when(F.size(embedding) == dim, F.col(embedding)).otherwise(F.array_repeat(F.lit(0.0), dim)).cast("array<double>").alias("v"))
-    n = rows.count()
-    blocks = max(1, -(-n // block))
-    if blocks > 1:
-        bounds = rows.selectExpr(f"percentile_approx(id, array({', '.join(str(i / blocks) for i in range(1, blocks))}), 100000) b")
-        rows = rows.join(F.broadcast(bounds), F.lit(True)).withColumn("block", F.size(F.filter("b", lambda x: x < F.col("id")))).drop("b")  # one row
-    else:
-        rows = rows.withColumn("block", F.lit(0))
-    rows = ws.cut(rows, "rows", by=["block"])
+    finite = F.forall(embedding, lambda x: F.abs(x) < float("inf")) & F.exists(embedding, lambda x: x != 0)
+    usable = F.coalesce((F.size(embedding) == dim) & finite, F.lit(False)) & F.col(key).isNotNull()
+    rows = df.select(F.col(key).alias("id"), F.when(usable, F.col(embedding)).cast("array<double>").alias("v"))
+    rows = ws.cut(rows.groupBy("id").agg(F.min("v").alias("v")), "rows")
+    alone = rows.filter(F.lit(threshold > 1) | F.col("v").isNull()).select("id", F.col("id").alias("leader"))
+    reps = ws.cut(rows.filter(F.lit(threshold <= 1) & F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("id")).select("id", "v"), "reps")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = list(batches)
         if own:
             t = pa.Table.from_batches(own).sort_by("id")
-            ids, m = t.column("id").to_pylist(), _matrix(t.column("v").combine_chunks(), dim)
+            ids, m = t.column("id").to_pylist(), _matrix(t.column("v"), dim)
             lead = np.full(len(m), -1)
             for i in range(len(m)):
                 if lead[i] < 0:
@@ -229,33 +321,35 @@ def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold
                     lead[later[m[later] @ m[i] >= threshold]] = i
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, t.schema.field("id").type), "leader": pa.array([ids[i] for i in lead], t.schema.field("id").type)})
 
-    def outside(left: pa.Table, right: pa.Table) -> pa.Table:
-        field = left.schema.field("id").type
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"id": pa.array([], field), "leader": pa.array([], field)})
-        right = right.sort_by("lid")
-        near = _matrix(left.column("v").combine_chunks(), dim) @ _matrix(right.column("lv").combine_chunks(), dim).T >= threshold
-        some = near.any(1)
-        first = near.argmax(1)
-        return pa.table({"id": left.column("id").filter(pa.array(some)), "leader": right.column("lid").take(first[some])})
-
-    out: list[DataFrame] = []
-    leaders = None
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for b in range(blocks):
-        own = rows.filter(F.col("block") == b).select("id", "v")
-        if leaders is not None:
-            spread = leaders.withColumn("p", F.pmod(F.xxhash64("lid"), F.lit(parts)).cast("int"))
-            every = own.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-            led = every.groupBy("p").cogroup(spread.groupBy("p")).applyInArrow(outside, f"id {kind}, leader {kind}").groupBy("id").agg(F.min("leader").alias("leader"))
-            led = ws.cut(led, f"led{b}")
-            out.append(led)
-            own = own.join(led, "id", "left_anti")
-        new = ws.cut(own.coalesce(1).mapInArrow(inside, f"id {kind}, leader {kind}"), f"new{b}")
-        out.append(new)
-        found = rows.filter(F.col("block") == b).select(F.col("id").alias("lid"), F.col("v").alias("lv")).join(new.filter("id = leader").select(F.col("id").alias("lid")), "lid")
-        leaders = found if leaders is None else leaders.unionByName(found)
-    result = out[0]
-    for d in out[1:]:
-        result = result.unionByName(d)
-    return result.select(F.col("id").alias(key), "leader")
+    n = reps.count()
+    if not n:
+        return alone.select(F.col("id").alias(key), "leader")
+    some = sorted(reps.select("id").orderBy(F.xxhash64("id"), "id").limit(CELL_SAMPLE).toArrow().column("id").to_pylist())
+    bounds = [reps.orderBy("id").limit(block).agg(F.max("id")).first()[0]]
+    size = block
+    while size < n:
+        size *= 2
+        to = some[-1] if size >= n else some[int(len(some) * size / n)]
+        if size < n and to > bounds[-1]:
+            bounds.append(to)
+    at = F.lit(bounds[0]).cast(kind)
+    made = [ws.cut(reps.filter(F.col("id") <= at).coalesce(1).mapInArrow(inside, f"id {kind}, leader {kind}"), "led0")]
+    for b, low in enumerate(bounds if n > block else [], 1):
+        own = reps.filter(F.col("id") > F.lit(low).cast(kind))
+        if b < len(bounds):
+            own = own.filter(F.col("id") <= F.lit(bounds[b]).cast(kind))
+        before = made[0]
+        for d in made[1:]:
+            before = before.unionByName(d)
+        leaders = ws.cut(reps.join(before.filter("id = leader").select("id"), "id"), f"leaders{b}")
+        led = ws.cut(_links(own, leaders, dim, threshold, True).groupBy("id").agg(F.min("prev").alias("leader")), f"found{b}")
+        rest = ws.cut(own.join(led.select("id"), "id", "left_anti"), f"rest{b}")
+        made.append(led)
+        if not rest.isEmpty():
+            links = ws.cut(_links(rest, rest, dim, threshold, False), f"links{b}")
+            made.append(ws.cut(_settled(ws, f"settled{b}", rest, links), f"led{b}"))
+    whole = made[0]
+    for d in made[1:]:
+        whole = whole.unionByName(d)
+    first = reps.withColumnRenamed("id", "rep").join(whole.withColumnRenamed("id", "rep"), "rep").select("v", "leader")
+    return alone.unionByName(rows.filter("v is not null").join(first, "v").select("id", "leader")).select(F.col("id").alias(key), "leader")
