@@ -46,3 +46,58 @@ def test_python_as_its_own_parser(spark):
     assert {(r.name, r.line_no, r.end_line) for r in textual.declared_symbols(df, "id", "language", "content").collect()} == want
     calls = {(n.func.lineno, n.func.id) for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
     assert calls <= {(r.line_no, r.callee) for r in textual.called_names(df, "id", "content").collect()}
+
+
+def test_enumerators(spark):
+    c = "enum Mode {\n    FAST = 1, /* B, */\n    SLOW,\n};\nenum One { A, B = (2), C };\nint f(void) {\n    return A;\n}\n"
+    cpp = "enum class Kind : int {\n    Left, // Right\n    Up\n};\nenum { LONE };\n"
+    df = spark.createDataFrame([(0, "c", c), (1, "cpp", cpp), (2, "rust", "enum E { A, B }\n"), (3, "c", "enum")], "id int, language string, content string")
+    rows = textual.declared_symbols(df, "id", "language", "content").collect()
+    got = {(r.id, r.line_no, r.name, r.parent) for r in rows if r.kind == "constant"}
+    assert got == {(0, 2, "FAST", "Mode"), (0, 3, "SLOW", "Mode"), (0, 5, "A", "One"), (0, 5, "B", "One"), (0, 5, "C", "One"), (1, 2, "Left", "Kind"), (1, 3, "Up", "Kind"), (1, 5, "LONE", None)}
+    assert {(r.id, r.name) for r in rows if r.kind == "enum"} >= {(0, "Mode"), (0, "One"), (1, "Kind")}
+    assert {r.signature for r in rows if r.name == "B"} == {"B = (2)"}
+
+
+YAML = """# head: no
+%s
+---
+app:
+  name: "a: b"   # c: d
+  'two words': 1
+  url: http://host:80/x
+  empty:
+  ports:
+  - 80
+  - host: h
+    to: {p: 1, q: [x, {r: 's, t: u'}], "v": ~}
+  text: |
+    not: a key
+      more: lines
+  last: &anchor
+    deep: !!str x
+list:
+    - a: 1
+      b:
+        - c: 2
+    - plain: >-
+        folded: text
+      after: [1,
+        {in: 2}]
+...
+next: {}
+"""
+
+
+def test_yaml_paths(spark):
+    df = spark.createDataFrame([(0, YAML % "plain words"), (1, None), (2, ""), (3, "a: [1, {b: 2}"), (4, "- x: 1\r\n- x: 2\r\n"), (5, "word\nhttp://a\n{k: v}")], "path int, kind string")
+    got = sorted((r[0], r[1], r[2]) for r in textual.yaml_paths(df, "path", "kind").toDF("key", "p", "k").collect())
+    s, f = "struct", "field"
+    want = [("app", s), ("app.name", f), ("app.two words", f), ("app.url", f), ("app.empty", f), ("app.ports", s), ("app.ports.host", f), ("app.ports.to", s), ("app.ports.to.p", f), ("app.ports.to.q", s), ("app.ports.to.q.r", f), ("app.ports.to.v", f), ("app.text", f), ("app.last", s), ("app.last.deep", f), ("list", s), ("list.a", f), ("list.b", s), ("list.b.c", f), ("list.plain", f), ("list.after", s), ("list.after.in", f), ("next", s)]
+    assert got == sorted([(0, *w) for w in want] + [(3, "a", s), (3, "a.b", f), (4, "x", f), (4, "x", f), (5, "k", f)])
+
+
+def test_json_paths(spark):
+    df = spark.createDataFrame([(0, '{"a": {"b": [1, {"c": null}]}}'), (1, "{"), (2, None), (3, "[]")], "path int, kind string")
+    got = sorted((r[0], r[1], r[2]) for r in textual.json_paths(df, "path", "kind").toDF("key", "p", "k").collect())
+    assert got == [(0, "a", "struct"), (0, "a.b", "struct"), (0, "a.b.c", "field")]

@@ -22,6 +22,8 @@ _BLANK = re.compile(r"[^\n]")
 _TYPED = re.compile(r"(?<=[\w\x01:])<(?:[\w\s:,'*\[\].?;\x01]|->|=(?!=)|&(?!&)|\|(?!\|))*>")
 _OWN = r"(?:(?:[A-Za-z_]\w*|self)(?:(?:::)?\x01+)?(?:::|\.|\?\.|->)\s*)*"
 _CALL = re.compile(rf"(?<![\w\x01])({_OWN}[A-Za-z_]\w*!?)(?:(?:::)?\x01+)?(?:\?\.)?\s*\(", re.A)
+_ENUM = re.compile(r"\benum\b(?:\s+(?:class|struct)\b)?(?:\s+(\w+))?(?:\s*:\s*[\w:][\w:\s]*)?\s*\{([^{}]*)\}")
+_ENUMERATOR = re.compile(r"(?<=[{,])\s*([A-Za-z_]\w*)[^,]*")
 _DECLARED = re.compile(r"\b(?:fn|def|func|fun|function\s*\*?|class|struct|enum|macro_rules!)\s*$")
 KEYWORDS = set(
     "if for while switch return catch fn def func function match else elif in not and or sizeof await new typeof defined let const var mut ref pub async as use impl dyn where yield lambda move is case void export from".split()
@@ -225,6 +227,16 @@ class Source:
             out.append({"line_no": i + 1, "kind": "method" if owner and kind == "function" else kind, "name": name, "parent": owner[0] if owner else None, "end_line": end + 1, "signature": self.raw[i].strip(), "doc": self._doc(i)})
             if kind in types:
                 over.append((name, indent, end))
+        return sorted(out + self._enumerators(), key=lambda s: s["line_no"]) if self.language in ("c", "cpp") else out
+
+    def _enumerators(self) -> list[dict]:
+        """The names that C enumerations list, each a constant of its enumeration."""
+        out = []
+        for m in _ENUM.finditer(self.masked):
+            for item in _ENUMERATOR.finditer(self.masked, m.start(2), m.end(2)):
+                i = self.line(item.start(1)) - 1
+                shown = self.text[item.start(1) : item.end()].strip()
+                out.append({"line_no": i + 1, "kind": "constant", "name": item.group(1), "parent": m.group(1), "end_line": self.line(item.end() - 1), "signature": shown, "doc": self._doc(i)})
         return out
 
     def calls(self, types: list[str]) -> list[dict]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -103,7 +103,7 @@ DECLARATIONS = {
     "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+(\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)"), ("module", r"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)"), ("constant", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static(?:\s+mut)?)\s+(\w+)\s*:"), ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(\w+)"), ("scope", r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)")],
     "python": [("function", r"^\s*(?:async\s+)?def\s+(\w+)"), ("class", r"^\s*class\s+(\w+)")],
     "typescript": [("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?!(?:if|for|while|switch|catch|function|return|new|super)\b)(\w+)\s*\([^;]*\)\s*(?::\s*[^;{]+)?\{\s*$")],
-    "c": [("function", r"^(?!\s*(?:if|for|while|switch|return|else|do|typedef)\b)[A-Za-z_][\w\s\*]*?\b(\w+)\s*\([^;]*\)\s*\{?\s*$"), ("struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{?\s*$"), ("union", r"^\s*(?:typedef\s+)?union\s+(\w+)\s*\{?\s*$"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(\w+)\s*\{?\s*$"), ("type", r"^\s*\}\s*(\w+)\s*;"), ("constant", r"^\s*#\s*define\s+(\w+)")],
+    "c": [("function", r"^(?!\s*(?:if|for|while|switch|return|else|do|typedef)\b)[A-Za-z_][\w\s\*]*?\b(\w+)\s*\([^;]*\)\s*\{?\s*$"), ("struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{?\s*$"), ("union", r"^\s*(?:typedef\s+)?union\s+(\w+)\s*\{?\s*$"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:(?:class|struct)\s+)?(\w+)\s*(?::\s*[\w:][\w:\s]*)?(?:\{.*)?$"), ("type", r"^\s*\}\s*(\w+)\s*;"), ("constant", r"^\s*#\s*define\s+(\w+)")],
     "go": [("method", r"^func\s*\([^)]*\)\s*(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("constant", r"^(?:const|var)\s+(\w+)")],
 }
 DECLARATIONS["cpp"] = [*DECLARATIONS["c"][:4], ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)"), ("namespace", r"^\s*namespace\s+(\w+)"), ("method", r"^\s+(?!(?:if|for|while|switch|return|else|do|typedef)\b)(?:[\w:<>&\*~]+\s+)+\*?(\w+)\s*\([^;]*\)\s*(?:const|noexcept|override|\s)*\{?\s*$"), ("constant", r"^\s*#\s*define\s+(\w+)")]
@@ -194,35 +194,144 @@ def imported_paths(sources: DataFrame, key: str, text: str, language: str = "lan
     return _scanned(sources, key, known, text, "imports", "imported_path string").distinct()
 
 
+def _members_of(df: DataFrame, key: str, text: str, members: Callable[[str], list[tuple[str, str]]]) -> DataFrame:
+    """``<key>, path, kind`` of the members that a parser of one text gives, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, paths, kinds = [], [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for path, kind in members(t) if t else []:
+                    keys.append(k)
+                    paths.append(path)
+                    kinds.append(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(paths, pa.string()), pa.array(kinds, pa.string())], names=["k", "path", "kind"])
+
+    kind = df.schema[key].dataType.simpleString()
+    found = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, path string, kind string")
+    return found.select(F.col("k").alias(key), "path", "kind")
+
+
 def json_paths(df: DataFrame, key: str, text: str) -> DataFrame:
     """``<key>, path, kind``: a row per member of every JSON text, with its dotted path; objects and arrays are of kind struct, scalars
     of kind field. Items of arrays have the array's path. Texts that are no JSON, null and empty ones give nothing."""
 
-    def members(value, path: str) -> Iterator[tuple[str, str]]:
-        todo = [(value, path)]
+    def members(t: str) -> list[tuple[str, str]]:
+        try:
+            todo, out = [(json.loads(t), "")], []
+        except (ValueError, RecursionError):
+            return []
         while todo:
             v, p = todo.pop()
             if isinstance(v, dict):
                 for k, x in v.items():
                     own = f"{p}.{k}" if p else k
-                    yield own, "struct" if isinstance(x, (dict, list)) else "field"
+                    out.append((own, "struct" if isinstance(x, (dict, list)) else "field"))
                     todo.append((x, own))
             elif isinstance(v, list):
                 todo += [(x, p) for x in v]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, paths, kinds = [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    value = json.loads(t) if t else None
-                except (ValueError, RecursionError):
-                    continue
-                for path, kind in members(value, ""):
-                    keys.append(k)
-                    paths.append(path)
-                    kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(paths, pa.string()), pa.array(kinds, pa.string())], names=["k", "path", "kind"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"k {kind}, path string, kind string").withColumnRenamed("k", key)
+        return out
+
+    return _members_of(df, key, text, members)
+
+
+#: A key of a YAML mapping at the start of a line (after its list marks), and what ends it.
+_YAML_KEY = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'\[{}\],#&*!|>%@`?-](?:[^:#]|:(?=\S)|(?<=\S)#)*?|-[^\s:][^:#]*?))\s*:(?=\s|$)"""
+_YAML_FLOW = r"""\s*(?:([\[{])|([\]}])|(,)|(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s,\[\]{}"'](?:[^,\[\]{}:]|:(?=\S))*))(\s*:(?=[\s,\[{}\]"']|$))?|(\S))"""
+
+
+def _yaml_flow(text: str, prefix: str, form: re.Pattern) -> list[tuple[str, str]]:
+    """Members of a flow value, which begins the text; what follows its end is passed over."""
+    out: list = []
+    over: list[str] = []  # paths of the open containers
+    pending = prefix  # path of the value that comes next
+    for m in form.finditer(text):
+        opened, closed, comma, double, single, bare, colon, _ = m.groups()
+        if opened:
+            if out and pending == out[-1][0] and out[-1][1] == "field":
+                out[-1] = (pending, "struct")
+            over.append(pending)
+        elif closed:
+            if over:
+                pending = over.pop()
+            if not over:
+                break
+        elif comma:
+            pending = over[-1] if over else prefix
+        elif colon and over:
+            name = next(x for x in (double, single, bare) if x is not None).strip()
+            pending = f"{over[-1]}.{name}" if over[-1] else name
+            out.append((pending, "field"))
+    return out
+
+
+def yaml_paths(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``<key>, path, kind``: a row per member of the mappings of every YAML text, with its dotted path; a member that holds a mapping
+    or a list, in block or flow form, is of kind struct, any other, block scalars and empty ones too, of kind field. Items of
+    lists have the list's path, several documents of a text follow each other. Null and empty texts and lines that are no
+    members give nothing; anchors and tags before a value are passed over."""
+
+    def members(t: str) -> list[tuple[str, str]]:
+        form, flow = re.compile(_YAML_KEY), re.compile(_YAML_FLOW)
+        lines = t.replace("\r\n", "\n").split("\n")
+        out: list[tuple[str, str]] = []
+        over: list[tuple[int, str, int]] = []  # column, path and place in the output of the members around
+        scalar = None  # column of the member whose block scalar or flow value goes on
+        depth, held = 0, []
+        for line in lines:
+            bare = line.strip()
+            col = len(line) - len(line.lstrip(" "))
+            if depth > 0:  # a flow value over several lines
+                held.append(line)
+                depth += sum(bare.count(c) for c in "[{") - sum(bare.count(c) for c in "]}")
+                if depth <= 0:
+                    out += _yaml_flow("\n".join(held), over[-1][1] if over else "", flow)
+                continue
+            if not bare or (scalar is not None and col > scalar):
+                continue
+            scalar = None
+            if bare.startswith("#"):
+                continue
+            if line.startswith(("---", "...")):
+                over = []
+                continue
+            listed = False
+            while re.match(r"-(\s|$)", line[col:]):
+                mark = col
+                while over and (over[-1][0] > mark):  # the list may stand at its owner's own column
+                    over.pop()
+                if over:
+                    out[over[-1][2]] = (over[-1][1], "struct")
+                listed = True
+                col += 1 + len(line[col + 1 :]) - len(line[col + 1 :].lstrip(" "))
+            m = form.match(line, col)
+            if not m:
+                value = line[col:].strip()
+                if value[:1] in ("{", "["):
+                    depth, held = sum(value.count(c) for c in "[{") - sum(value.count(c) for c in "]}"), [value]
+                    if depth <= 0:
+                        out += _yaml_flow(value, over[-1][1] if over else "", flow)
+                elif re.match(r"(?:[&!]\S+\s+)*[|>]", value):
+                    scalar = mark if listed else col
+                continue
+            if not listed:
+                while over and over[-1][0] >= col:
+                    over.pop()
+            name = next(x for x in m.groups() if x is not None).strip()
+            path = f"{over[-1][1]}.{name}" if over else name
+            if over:
+                out[over[-1][2]] = (over[-1][1], "struct")
+            value = re.sub(r"^(?:[&!]\S*\s*)+", "", line[m.end() :].strip())
+            over.append((col, path, len(out)))
+            out.append((path, "struct" if value[:1] in ("{", "[") else "field"))
+            if value[:1] in ("{", "["):
+                depth, held = sum(value.count(c) for c in "[{") - sum(value.count(c) for c in "]}"), [value]
+                if depth <= 0:
+                    out += _yaml_flow(value, path, flow)
+            elif value[:1] in ("|", ">"):
+                scalar = col
+        if depth > 0:  # never closed
+            out += _yaml_flow("\n".join(held), over[-1][1] if over else "", flow)
+        return out
+
+    return _members_of(df, key, text, members)

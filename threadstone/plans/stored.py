@@ -603,3 +603,13 @@ def ext_08_json_paths(spark, d):
 
     j = table(spark, d, "chunks").filter((F.col("kind") == "config_chunk") & F.ltrim("text").startswith("{")).select("id", "text").distinct()
     return json_paths(j, "id", "text").groupBy("id", "path", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def ext_09_yaml_paths(spark, d):
+    """Members of YAML texts as dotted paths. A configuration is YAML if its first line that is no comment is a key and a colon."""
+    from threadstone.operators.textual import yaml_paths
+
+    first = r"^(?:\s*(?:#[^\n]*|---)?\n)*(?:- )?[\w.-]+:(?:\s|$)"
+    y = table(spark, d, "chunks").filter((F.col("kind") == "config_chunk") & F.col("text").rlike(first)).select("id", "text").distinct()
+    return yaml_paths(y, "id", "text").groupBy("id", "path", "kind").agg(F.count(F.lit(1)).alias("n"))
