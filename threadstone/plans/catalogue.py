@@ -315,11 +315,27 @@ def vec_recall(spark, d):
     return VO.recall_of(vec_search_near(spark, d), _found(spark, d, 10), "vec_id")
 
 
-@query()
+_LED = "list_filter(o.prevs, lambda y: list_contains(w.leaders, y))[1]"
+_SQL_LEADERS = f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+  p AS MATERIALIZED (SELECT b.n, list(a.vec_id ORDER BY a.vec_id) AS prevs FROM e a JOIN e b ON a.n < b.n AND list_cosine_similarity(a.v, b.v) >= %s GROUP BY b.n),
+  o AS MATERIALIZED (SELECT e.n, e.vec_id, coalesce(p.prevs, []) AS prevs FROM e LEFT JOIN p ON p.n = e.n),
+  w AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS vec_id, NULL::BIGINT AS leader, []::BIGINT[] AS leaders
+        UNION ALL SELECT o.n, o.vec_id, coalesce({_LED}, o.vec_id), CASE WHEN {_LED} IS NULL THEN list_append(w.leaders, o.vec_id) ELSE w.leaders END
+        FROM w JOIN o ON o.n = w.n + 1)
+  SELECT vec_id, leader FROM w WHERE n > 0"""
+
+
+@query(_SQL_LEADERS % 0.85)
 def vec_leaders(spark, d):
     return VO.leader_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 0.85)
 
 
+@query(_SQL_LEADERS % 0.3)
+def vec_leaders_wide(spark, d):
+    """Clusters wide enough to hold several of these vectors, which are hardly alike; in short stretches, so that rows are linked and settled too."""
+    return VO.leader_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 0.3, block=200)
+
+
 def _doc_vectors(spark, d):
     docs = table(spark, d, "documents").select("doc_id", search_source("source").alias("source"), T.slice_lines("text", F.lit(1), F.lit(1)).alias("outline"), "text", "created_at", "project_id")
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
