@@ -283,6 +283,7 @@ def _settled(ws: Workspace, name: str, rest: DataFrame, links: DataFrame) -> Dat
         open_ = ws.cut(open_.join(new, "id", "left_anti"), f"{name}-open{turn}")
         if turn % 8 == 0:
             settled = ws.cut(settled, f"{name}-all{turn}")
+    ws.drop(*[f"{name}-open{i}" for i in range(1, turn)])
     first = links.join(settled.filter("leads").select(F.col("id").alias("prev")), "prev").groupBy("id").agg(F.min("prev").alias("leader"))
     return settled.filter("leads").select("id", F.col("id").alias("leader")).unionByName(settled.filter("not leads").join(first, "id").select("id", "leader"))
 
@@ -343,6 +344,7 @@ def leader_clusters(df: DataFrame, key: str, embedding: str, dim: int, threshold
             before = before.unionByName(d)
         leaders = ws.cut(reps.join(before.filter("id = leader").select("id"), "id"), f"leaders{b}")
         led = ws.cut(_links(own, leaders, dim, threshold, True).groupBy("id").agg(F.min("prev").alias("leader")), f"found{b}")
+        ws.drop(f"leaders{b}")
         rest = ws.cut(own.join(led.select("id"), "id", "left_anti"), f"rest{b}")
         made.append(led)
         if not rest.isEmpty():
