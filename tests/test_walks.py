@@ -42,7 +42,7 @@ def test_walks_from_many_roots(spark, monkeypatch, direction):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["graph_callees_all"])
+@pytest.mark.parametrize("name", ["graph_callees_all", "graph_callers_all"])
 def test_no_hop_of_many_walks_is_stored(spark, monkeypatch, tmp_path, name):
     monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
     assert catalogue.QUERIES[name](spark, DATA).count() > 1
