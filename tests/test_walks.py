@@ -47,3 +47,12 @@ def test_no_hop_of_many_walks_is_stored(spark, monkeypatch, tmp_path, name):
     monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
     assert catalogue.QUERIES[name](spark, DATA).count() > 1
     assert not [*tmp_path.rglob("*")]
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="needs the test tables")
+def test_callees_of_the_names_of_all_symbols(spark):
+    symbols = session.table(spark, DATA, "symbols")
+    edges = {(r.src, r.dst) for r in graph.name_edges(session.table(spark, DATA, "call_edges"), symbols).collect()}
+    names = {r.name for r in symbols.collect()} - {None}
+    got = {(r.root, r.node, r.hop) for r in catalogue.QUERIES["graph_callees_all"](spark, DATA).collect()}
+    assert got == _plain(edges, names, 3) and {root for root, _, _ in got} == names & {a for a, _ in edges}
